@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import canonical, frequency
+from notewright.llm import canonical, frequency, leakage, residue
 from notewright.runtime import read_table
 
 
@@ -39,7 +39,24 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked_terms(spark, sf_dir)
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_counts": p4_counts}
+def _leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read_table(spark, sf_dir, "eval_items").select("item_id", F.col("text").alias("item_text"))
+    return leakage.leaked(read_table(spark, sf_dir, "documents"), items, "doc_id", "text", "item_id", "item_text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaked(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaked(spark, sf_dir)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_records(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_passages": p6_passages, "p8_found": p8_found}
 
 _PAIRS = """
 WITH named AS (
