@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.llm import canonical, frequency, leakage, residue
+from notewright.llm import canonical, frequency, leakage, markup, mixing, residue
 from notewright.runtime import read_table
 
 
@@ -52,11 +52,44 @@ def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaked(spark, sf_dir)
 
 
+def _marked_up(spark: SparkSession, sf_dir: str, of) -> DataFrame:
+    pages = of(read_table(spark, sf_dir, "page_contexts"), "page_row_id", "page_text").withColumnRenamed("page_row_id", "record_id")
+    bodies = of(read_table(spark, sf_dir, "analysis_results"), "analysis_id", "body").withColumnRenamed("analysis_id", "record_id")
+    return pages.select(F.lit("page_contexts").alias("source_table"), "*").unionByName(bodies.select(F.lit("analysis_results").alias("source_table"), "*"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked_up(spark, sf_dir, markup.elements)
+
+
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked_up(spark, sf_dir, markup.cleaned)
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")[0]
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_records(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_passages": p6_passages, "p8_found": p8_found}
+QUERIES = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_clean": p3_clean,
+    "p4_found": p4_found,
+    "p4_counts": p4_counts,
+    "p6_found": p6_found,
+    "p6_passages": p6_passages,
+    "p7_mix": p7_mix,
+    "p7_report": p7_report,
+    "p8_found": p8_found,
+}
 
 _PAIRS = """
 WITH named AS (
