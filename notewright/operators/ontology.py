@@ -36,7 +36,7 @@ def bar_aliases(table: DataFrame, order: str = "row_id") -> DataFrame:
     """As ``gene_aliases`` for fields packed with bars only, in plain expressions: the source's own layout."""
     rows = table.where((F.trim("status") == "Approved") & (F.coalesce(F.trim("symbol"), F.lit("")) != ""))
     both = F.explode(F.concat(F.split(F.coalesce("alias_symbol", F.lit("")), r"\|"), F.split(F.coalesce("prev_symbol", F.lit("")), r"\|")))
-    named = rows.select(order, F.trim("symbol").alias("symbol"), F.trim(both).alias("alias")).where("alias <> ''")
+    named = rows.select(order, F.trim("symbol").alias("symbol"), both.alias("a")).select(order, "symbol", F.trim("a").alias("alias")).where("alias <> ''")
     last = named.groupBy("alias").agg(F.max_by("symbol", order).alias("symbol"))
     return last.join(genes(table, order).select(F.col("symbol").alias("alias")), "alias", "left_anti")
 

@@ -34,10 +34,10 @@ def with_parents(pages: DataFrame, section: list[str], order: str, page_id: str,
     keys = [*section, "depth"]
     deep = out.where(F.col("depth") > deepest + 1)
     # As-of by depth: the latest page of the step above, as one ordered union and a running last.
-    above = out.where(F.col("depth") > deepest).select(*section, (F.col("depth") + 1).alias("depth"), order, F.col(page_id).alias("above"), F.lit(0).alias("side"))
-    both = above.unionByName(deep.select(*keys, order, page_id, F.lit(1).alias("side")), allowMissingColumns=True)
-    run = W.partitionBy(*keys).orderBy(order, "side").rowsBetween(W.unboundedPreceding, -1)
-    found = both.withColumn("p", F.last("above", ignorenulls=True).over(run)).where("side = 1").select(F.col(page_id).alias("__id"), F.col("p").alias("__p"))
+    above = out.where(F.col("depth") > deepest).select(*section, (F.col("depth") + 1).alias("depth"), F.col(order).alias("__o"), F.col(page_id).alias("above"), F.lit(0).alias("side"))
+    both = above.unionByName(deep.select(*keys, F.col(order).alias("__o"), F.col(page_id).alias("__id"), F.lit(1).alias("side")), allowMissingColumns=True)
+    run = W.partitionBy(*keys).orderBy("__o", "side").rowsBetween(W.unboundedPreceding, -1)
+    found = both.withColumn("__p", F.last("above", ignorenulls=True).over(run)).where("side = 1").select("__id", "__p")
     return out.join(found, out[page_id] == found["__id"], "left").withColumn("parent_id", F.coalesce("parent_id", "__p")).drop("__id", "__p")
 
 
@@ -57,8 +57,8 @@ def lineage(pages: DataFrame, page_id: str) -> DataFrame:
 
 def children(pages: DataFrame, page_id: str, order: str, name: str) -> DataFrame:
     """(parent_id, children): names in page order; a list is one section's at most."""
-    rows = pages.where("parent_id is not null").groupBy("parent_id").agg(F.sort_array(F.collect_list(F.struct(order, name))).alias("c"))
-    return rows.select("parent_id", F.transform("c", lambda x: x[name]).alias("children"))
+    rows = pages.where("parent_id is not null").groupBy("parent_id").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n")))).alias("c"))
+    return rows.select("parent_id", F.transform("c", lambda x: x["n"]).alias("children"))
 
 
 def display_names(pages: DataFrame, name: str, parent_name: str) -> Column:

@@ -85,7 +85,7 @@ def next_state(state: DataFrame, actions: DataFrame, written: DataFrame) -> Data
 def rate(events: DataFrame, ts: str, seconds: int = 60, by: list[str] | None = None) -> DataFrame:
     """``recent``: how many calls came in the ``seconds`` up to each, itself included. Without ``by`` the calls are cut
     into time blocks that overlap by the window, so no task holds them all."""
-    second = F.col(ts).cast("double")
+    second = F.col(ts).cast("timestamp").cast("double")
     if by:
         w = W.partitionBy(*by).orderBy(F.col("__s")).rangeBetween(-seconds, 0)
         return events.withColumn("__s", second).withColumn("recent", F.count("*").over(w)).drop("__s")
