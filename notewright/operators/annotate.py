@@ -62,7 +62,7 @@ def tags_and_entities(answer: Column) -> Column:
     """struct(tags, entities) of an answer in JSON; null where it cannot be read. Tags are slugged, once each."""
     parsed = F.from_json(json_value_udf(without_fences(answer)), "tags array<string>, entities map<string,array<string>>")
     tags = F.array_distinct(F.filter(F.transform(F.coalesce(parsed["tags"], F.array().cast("array<string>")), T.tag_slug), lambda t: t != ""))
-    return F.when(parsed.isNotNull(), F.struct(tags.alias("tags"), parsed["entities"].alias("entities")))
+    return F.when(parsed["tags"].isNotNull() | parsed["entities"].isNotNull(), F.struct(tags.alias("tags"), parsed["entities"].alias("entities")))
 
 
 def structured(text: str | None, default: str = "") -> dict:

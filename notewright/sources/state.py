@@ -28,14 +28,13 @@ def current(spark: SparkSession, root: str, table: str) -> str | None:
 
 def load(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
     """A table's current version; missing, unreadable or of another layout, it is empty and the run starts afresh."""
-    path = current(spark, root, table)
-    if path is not None:
-        try:
-            found = spark.read.parquet(path)
-            if "state_version" in found.columns and found.where(F.col("state_version") != VERSION).limit(1).count() == 0:
-                return spark.createDataFrame([], schema).unionByName(found.drop("state_version"), allowMissingColumns=True)
-        except Exception:  # noqa: BLE001 - whatever is wrong with it, an old state must not stop a run
-            pass
+    try:
+        path = current(spark, root, table)
+        found = spark.read.parquet(path) if path is not None else None
+        if found is not None and "state_version" in found.columns and found.where(F.col("state_version") != VERSION).limit(1).count() == 0:
+            return spark.createDataFrame([], schema).unionByName(found.drop("state_version"), allowMissingColumns=True)
+    except Exception:  # noqa: BLE001 - whatever is wrong with it, an old state must not stop a run
+        pass
     return spark.createDataFrame([], schema)
 
 

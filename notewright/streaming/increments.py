@@ -24,7 +24,7 @@ def run_once(spark: SparkSession, inbox: str, root: str, checkpoint: str, on_act
         latest = df.groupBy("key").agg(F.max_by(F.struct(*[c for c in df.columns if c != "key"]), "modified").alias("v")).select("key", "v.*")
         known = store.load(spark, root, "pages", STATE)
         files = known.where("active_file <> ''").select(F.col("active_file").alias("path"), "content_hash")
-        actions = sync.plan(latest, known, files).where("type <> 'orphan'")
+        actions = sync.with_moves(sync.plan(latest, known, files).where("type <> 'orphan'"))
         work = actions.join(latest.select("key", "modified", "content"), "key")
         written = work.select("key", "modified", F.col("new_path").alias("active_file"), F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"), F.lit(False).alias("pending"))
         if on_actions is not None:
