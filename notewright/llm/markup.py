@@ -57,7 +57,7 @@ _WIKI_ITEM = re.compile(r"^(\*[*#:]*)[ \t]*(?=[^\s*])")
 _LEAD_EMPHASIS = re.compile(r"^(\*{1,3})(?=[^\s*])[^*\n]{1,120}?(?<=[^\s*])\1(?![\w*])")
 _QUOTE = re.compile(r"^[ \t]*>[ \t]?")
 _TEX_HEAD = re.compile(r"\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?[ \t]*(?:\[[^\]\n]*\])?\{((?:[^{}\n]|\{[^{}\n]*\})*)\}?")
-_HTML_HEAD = re.compile(r"<h([1-6])\b[^>]*>(.*?)(?:</h\1\s*>|(?=<(?:h[1-6]|p|div|ul|ol|pre|table)\b)|\n|\Z)", re.I | re.S)
+_HTML_HEAD = re.compile(r"<h([1-6])\b[^>]*>\s*(.*?)(?:\s*</h\1\s*>|(?=<(?:h[1-6]|p|div|ul|ol|pre|table)\b)|\n|\Z)", re.I | re.S)
 _LI = re.compile(r"\s*<li\b[^>]*>\s*(?:<p\b[^>]*>\s*)?", re.I)
 _TEX_ITEM = re.compile(r"\s*\\item(?![A-Za-z])[ \t]*(?:\[[^\]\n]*\])?[ \t]*")
 _DEPTH = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5}
@@ -221,7 +221,7 @@ class _Reader:
             self.marked = True
             for _ in range(2):
                 text = html.unescape(text)
-            text = _TAG.sub("", text)
+            text = _TAG.sub("", re.sub(r"(?s)<!--.*?-->", "", text))
         if not self.marked:
             return self.text
         text = text.replace("\ue002", "")
