@@ -72,16 +72,16 @@ def fence_islands(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def label_fences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text): bare opening fences labelled by what stands between them and their end."""
-    rows = split_lines(docs, doc_id, text).withColumn("bare", F.regexp_replace("line", r"(?U)^\s+|\s+$", "") == "```")
-    k = F.sum(F.col("bare").cast("int")).over(_by_doc())
-    rows = rows.withColumn("k", F.when(F.col("bare"), k - 1).otherwise(k)).withColumn("opens", F.col("bare") & (F.col("k") % 2 == 0))
-    rows = rows.withColumn("block", F.floor((F.when(F.col("bare"), F.col("k")).otherwise(F.col("k") - 1)) / 2))
-    whole = W.partitionBy("doc_id", "block")
-    inside = F.when(~F.col("bare") & (F.col("k") % 2 == 1), F.struct("n", "line"))
-    code = F.array_join(F.transform(F.array_sort(F.collect_list(inside).over(whole)), lambda x: x["line"]), "\n")
-    rows = rows.withColumn("code", code)
-    line = F.when(F.col("opens") & (F.col("code") != ""), F.concat(F.lit("```"), T.code_language(F.col("code"), P.FENCE_LANGUAGE))).otherwise(F.col("line"))
+    """(doc_id, text): bare opening fences labelled by what stands between them and their end. Fences open and close by
+    turns, labelled ones included."""
+    bare = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
+    rows = split_lines(docs, doc_id, text).withColumn("bare", bare).withColumn("fence", F.startswith("bare", F.lit("```")))
+    k = F.sum(F.col("fence").cast("int")).over(_by_doc())
+    rows = rows.withColumn("k", k).withColumn("opens", F.col("fence") & (F.col("k") % 2 == 1))
+    # The lines between the k-th fence and the next have the count k.
+    inside = F.when(~F.col("fence") & (F.col("k") % 2 == 1), F.struct("n", "line"))
+    rows = rows.withColumn("code", F.array_join(F.transform(F.array_sort(F.collect_list(inside).over(W.partitionBy("doc_id", "k"))), lambda x: x["line"]), "\n"))
+    line = F.when(F.col("opens") & (F.col("bare") == "```") & (F.col("code") != ""), F.concat(F.lit("```"), T.code_language(F.col("code"), P.FENCE_LANGUAGE))).otherwise(F.col("line"))
     return join_lines(rows.select("doc_id", "n", line.alias("line")))
 
 
