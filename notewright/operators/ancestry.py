@@ -129,13 +129,13 @@ def _circles(keep: Scratch, walks: DataFrame, reduced: DataFrame) -> DataFrame:
     closed = walks.where("start = at").select(F.col("start").alias("node"))
     # Splitters: peel off those without a way in or out until none goes, then name the strong components.
     edges = keep.save(reduced.where("start <> at").select(F.col("start").alias("a"), F.col("at").alias("b")))
-    left = edges.count()
+    left = edges._notewright_rows
     while left:
         edges2 = edges
         for _ in range(3):
             edges2 = edges2.join(edges2.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges2.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
         edges2 = keep.save(edges2)
-        now = edges2.count()
+        now = edges2._notewright_rows
         edges = edges2
         if now == left:
             break
@@ -158,10 +158,9 @@ def _components(keep: Scratch, edges: DataFrame) -> DataFrame:
         while True:
             sent = edges.join(colour, edges["a"] == colour["node"]).select(F.col("b").alias("node"), F.col("label").alias("got")).groupBy("node").agg(F.max("got").alias("got"))
             nxt = keep.save(colour.join(sent, "node", "left").select("node", F.greatest("label", F.coalesce("got", "label")).alias("label"), (F.col("got") > F.col("label")).alias("moved")))
+            colour = nxt.select("node", "label")
             if is_empty(nxt.where("moved")):
-                colour = nxt.drop("moved")
                 break
-            colour = keep.save(nxt.drop("moved"))
         inner = keep.save(edges.join(colour.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(colour.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la = lb").select("a", "b", F.col("la").alias("label")))
         found = keep.save(colour.where("node = label"))
         fresh = found

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "notewright") -> SparkSession:
@@ -45,16 +46,16 @@ class Scratch:
             base = "file://" + os.path.join(tempfile.gettempdir(), "notewright-scratch")
         self.root = f"{base.rstrip('/')}/notewright-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
 
     def save(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
         """Write ``df`` and return it read back, free of lineage."""
         self._n += 1
         path = f"{self.root}/{self._n}"
-        (df.coalesce(partitions) if partitions else df).write.parquet(path)
+        seen = Observation()
+        (df.coalesce(partitions) if partitions else df).observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._notewright_path = path  # type: ignore[attr-defined]
+        out._notewright_rows = seen.get["rows"]  # type: ignore[attr-defined]
         return out
 
     def drop(self, df: DataFrame | None) -> None:
@@ -68,4 +69,6 @@ class Scratch:
 
 
 def is_empty(df: DataFrame) -> bool:
-    return len(df.head(1)) == 0
+    """Whether a table has no row; one that was saved is known without reading it."""
+    rows = getattr(df, "_notewright_rows", None)
+    return rows == 0 if rows is not None else len(df.head(1)) == 0
