@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Names of pages that hold nothing yet.
-PLACEHOLDERS = ("Untitled", "Untitled page", "New page")
+PLACEHOLDERS = ("Untitled", "Untitled page", "Neuer Abschnitt")
 
 
 def plan(pages: DataFrame, state: DataFrame, files: DataFrame, *, force: bool = False, emulate_missing_status: bool = True) -> DataFrame:

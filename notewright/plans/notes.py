@@ -244,7 +244,7 @@ fl AS (SELECT active_file AS path, min(CASE WHEN status = 'synced' THEN content_
 act AS (
 SELECT coalesce(p.key, s.key) AS key, s.active_file AS old_path, p.path AS new_path, p.display_name,
   CASE WHEN p.key IS NULL AND coalesce(s.status, '') <> 'orphaned' THEN 'orphan' WHEN p.key IS NULL THEN NULL
-       WHEN s.key IS NULL AND p.name IN ('Untitled', 'Untitled page', 'New page') THEN NULL WHEN s.key IS NULL THEN 'new'
+       WHEN s.key IS NULL AND p.name IN ('Untitled', 'Untitled page', 'Neuer Abschnitt') THEN NULL WHEN s.key IS NULL THEN 'new'
        WHEN coalesce(s.active_file <> '', false) AND s.active_file <> p.path THEN 'reexport'
        WHEN p.modified IS NOT DISTINCT FROM s.modified AND coalesce(s.active_file <> '', false) AND f.path IS NULL THEN 'reexport'
        WHEN p.modified IS NOT DISTINCT FROM s.modified AND coalesce(s.pending, false) THEN 'ai-enrich'

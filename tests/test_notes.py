@@ -354,3 +354,8 @@ def test_ontology(spark):
     assert {r.key for r in ontology.diseases(spark, nodes, edges, "MONDO:4").collect()} == {"syn one"}
     links_ = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("d", "c")], "child string, parent string")
     assert {r.node for r in ontology.below(spark, "a", links_).collect()} == {"a", "b", "c", "d"}
+
+
+def test_redaction(spark):
+    given = [r"C:\Users\ada\x \\srv\share\y", r"AppData\Local\Temp\s1\f and OneDrive - Big Co\z", None]
+    assert "ada" not in _col(spark, given, T.redact_paths)[0] and "Big Co" not in _col(spark, given, T.redact_paths)[1]
