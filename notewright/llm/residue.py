@@ -129,6 +129,10 @@ def is_heading(passage: str, position: int) -> bool:
     return position == 0 and len(passage.split()) <= 6 and not re.search(r"[.!?:…,;]$|\x02", passage) and not _EMPTY.search(passage)
 
 
+# What the seeds say, word for word.
+_TOLD = frozenset(p.lower() for s in SEEDS for p in split_passages(s))
+
+
 class _Odds(dict):
     """Log odds by word; an unknown word has the rare ones'."""
 
@@ -218,31 +222,54 @@ def learn(documents: DataFrame, doc_id: str, text: str, *, sample: int = 8_000,
     return learn_from(sorted(texts))
 
 
+def wordings(passages: list[str]) -> tuple[frozenset[str], set[str]]:
+    """(what a record says, all its wordings) as passage keys; headings say something only where nothing else stands."""
+    keys = [(passage_key(p), is_heading(p, k)) for k, p in enumerate(passages)]
+    every = {k for k, _ in keys}
+    return frozenset(k for k, heading in keys if not heading) or frozenset(every), every
+
+
 def learn_from(texts: list[str], common: float = 0.004) -> Model:
     """Fit on the records that the fixed patterns tell for certain, and the others. Passages in more than ``common`` of
-    the others that hold no slot and no certain wording are neutral."""
+    the others are neutral if they hold no slot and no certain wording and the seeds do not speak for residue. Records
+    that say the same count once, whatever their titles."""
     sure, others = [], []
     for t in texts:
         (sure if certain_share(t) >= 0.6 else others).append(t)
-    seen = Counter(k for t in others for k in {passage_key(p) for p in split_passages(t)})
-    sayings = {k for k, n in seen.items() if n > max(8, common * len(others)) and SLOT not in k}
-    telling = {k for t in texts for p in split_passages(t) if (k := passage_key(p)) in sayings and _CERTAIN.search(p)}
-    neutral = frozenset(sayings - telling)
+    said: dict[frozenset[str], set[str]] = {}
+    for t in others:
+        body, every = wordings(split_passages(t))
+        said.setdefault(body, set()).update(every)
+    seen = Counter(k for every in said.values() for k in every)
+    sayings = {k for k, n in seen.items() if n > max(8, common * len(said)) and SLOT not in k and not _CERTAIN.search(k)}
+
+    # One wording counts once however often its record is repeated.
+    sure, others = list(dict.fromkeys(sure)), list(dict.fromkeys(others))
+    seeds = [[passage_words(p, 1)] for s in SEEDS for p in split_passages(s)]
+    neutral = _unlike_seeds(sayings, seeds, others)
 
     def of(texts: list[str]) -> list[list[list[str]]]:
         return [r for t in texts if (r := [w for k, p in enumerate(split_passages(t)) if not is_heading(p, k) and passage_key(p) not in neutral and (w := passage_words(p, k))])]
 
-    # One wording counts once however often its record is repeated.
-    model = fit([[passage_words(p, 1)] for s in SEEDS for p in split_passages(s)] + of(list(dict.fromkeys(sure))), of(list(dict.fromkeys(others))))
+    model = fit(seeds + of(sure), of(others))
     model.neutral = neutral
     return model
 
 
+def _unlike_seeds(sayings: set[str], seeds: list[list[list[str]]], others: list[str]) -> frozenset[str]:
+    """Of the sayings those that are no seed and that the seeds, against the others, do not score as residue."""
+    open_ones = sorted(sayings - set(map(passage_key, _TOLD)))
+    if not open_ones:
+        return frozenset()
+    plain = fit(seeds, [[w] for t in others for k, p in enumerate(split_passages(t)) if (w := passage_words(p, k))], rounds=1)
+    return frozenset(k for k in open_ones if plain.score(passage_words(k, 1)) <= 0)
+
+
 def judge(text: str, model: Model, most_content: float | None = None) -> tuple[int, int, float]:
     """(words of residue, words of content, log odds of the record), headings and neutral passages aside. Where
-    nothing else stands, the headings are what the record offers. With ``most_content`` the rest of a text is not
+    nothing else stands, the neutral passages, and then the headings, are what the record offers. With ``most_content`` the rest of a text is not
     scored once it can no longer bring the share of content down to that, even if each character were a word."""
-    scored, headings = [], []
+    scored, headings, skipped = [], [], []
     low = text.lower()
     hinted = any(h in low for h in _CERTAIN_HINTS)
     passages = split_passages(text)
@@ -253,11 +280,12 @@ def judge(text: str, model: Model, most_content: float | None = None) -> tuple[i
             break
         left -= len(p)
         if model.is_neutral(p):
+            skipped.append((p, k))
             continue
         ws = passage_words(p, k)
         if ws:
             s = model.score(ws)
-            if s < model.most and hinted and len(ws) <= 12 and only_certain(p, 0.6):
+            if s < model.most and (p.lower() in _TOLD or hinted and len(ws) <= 12 and only_certain(p, 0.6)):
                 s = model.most
             if is_heading(p, k):
                 headings.append((len(ws), s))
@@ -267,6 +295,8 @@ def judge(text: str, model: Model, most_content: float | None = None) -> tuple[i
                 said += len(ws) if s <= 0 else 0
     residue = content = 0
     total = model.prior
+    if skipped and not scored:
+        scored = [(len(ws), model.score(ws)) for p, k in skipped if (ws := passage_words(p, k))]
     for n, s in scored or headings:
         # A long passage may say more than one short one; a label of two words speaks for little.
         total += max(-model.most if n > 2 else -model.most / 3, min(model.most * min(2.5, max(1.0, n / 10)), s))

@@ -63,3 +63,23 @@ def test_learning_reads_a_bounded_sample(spark):
     found = {r.id for r in residue.residue_records(df, "id", "text").collect()}
     want = {k for k, _, w in _make(3, 1200) if w}
     assert len(found & want) > 0.9 * len(want) and len(found - want) < 0.03 * len(want)
+
+
+REPEATED = ["Something went wrong, please try again.", "Insert text here.", "Text folgt.", "asdf asdf"]
+
+
+@pytest.mark.parametrize("wording", REPEATED)
+def test_repeated_residue_is_never_neutral(wording):
+    notes = [t for _, t, w in _make(4, 1000) if not w]
+    for copies in ([wording] * 60, [f"{_w(random.Random(k)).title()} review\n\n{wording}" for k in range(60)], [f"{wording}\nReload the page\nPlates for {_w(random.Random(k))} arrived." for k in range(60)]):
+        model = residue.learn_from(notes + copies)
+        assert residue.passage_key(wording) not in model.neutral
+        assert residue.is_residue(residue.judge(wording, model), 0.45)
+
+
+def test_a_footer_in_many_different_notes_stays_neutral():
+    foot = "Exported automatically from the shared notebook."
+    notes = [t + "\n" + foot for _, t, w in _make(4, 1000) if not w]
+    model = residue.learn_from(notes + [foot] * 20)
+    assert residue.passage_key(foot) in model.neutral
+    assert not residue.is_residue(residue.judge(foot, model), 0.45)
