@@ -7,6 +7,7 @@ passage of every record is then scored; a record is out if its scored passages a
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -86,7 +87,8 @@ _CERTAIN = re.compile("|".join(CERTAIN), re.I)
 _CERTAIN_HINTS = ("script", "error", "erreur", "fehler", "404", "403", "500", "502", "503", "504", "traceback", "exception", "session", "sitzung", "sesión", "service", "nicht ", "indisponible", "disponible", "denied", "verweigert", "refusé", "denegado", "not found", "introuvable", "encontrada", "ipsum", "amet", "dolor")
 _TAG = re.compile(r"</?([a-zA-Z]+)[^<>\n]{0,200}>")
 _LABEL = re.compile(r"(?<=[^\s])\s+(?=[^\W\d_][\w ]{1,24}:\s)")
-_SPLIT = re.compile(r"\n+|(?<=[.!?…])\s+(?=[^\s])")
+# Newlines, or white space behind a sentence's end; begins with one class, so that the search is fast.
+_SPLIT = re.compile(r"[\s](?:(?<=\n)\n*|(?<=[.!?…]\s)\s*(?=\S))")
 _WORD = re.compile(r"\x02|[^\W\d_]+|\d+")
 
 SLOT, RARE = "\x02", "\x03rare"
@@ -104,10 +106,13 @@ def _tag_name(m: re.Match) -> str:
 
 _LEAD = re.compile(r"^(?:[-*•]\s+|\d{1,2}[.)]\s+|\d{1,2}:\d{2}\s+|[^\W\d_]{1,10}:\s+(?=[^\W\d_]+\s+[^\W\d_]+\s+[^\W\d_]+))")
 
+_NUMBER = re.compile(r"\d+")
+
 
 def passage_key(passage: str) -> str:
     """A passage without list marks, times, labels and numbers, to know wording that comes again and again."""
-    return re.sub(r"\d+", "0", _LEAD.sub("", passage)).strip().lower()
+    lead = _LEAD.match(passage)
+    return _NUMBER.sub("0", passage[lead.end() :] if lead else passage).strip().lower()
 
 
 _DIGITS = str.maketrans("123456789", "000000000")
@@ -208,18 +213,40 @@ def certain_share(text: str) -> float:
     if not any(h in low for h in _CERTAIN_HINTS) and not _SLOT_HINT.search(text):
         return 0.0
     ps = [p for k, p in enumerate(split_passages(text)) if not is_heading(p, k)]
-    return sum(bool(only_certain(p, 0.38) or (SLOT in p and len(_WORD.findall(p.replace(SLOT, ""))) <= 8 * p.count(SLOT))) for p in ps) / len(ps) if ps else 0.0
+    return sum(map(_is_certain, ps)) / len(ps) if ps else 0.0
+
+
+def _is_certain(p: str) -> bool:
+    return only_certain(p, 0.38) or (SLOT in p and len(_WORD.findall(p.replace(SLOT, ""))) <= 8 * p.count(SLOT))
 
 
-def learn(documents: DataFrame, doc_id: str, text: str, *, sample: int = 8_000, longest: int = 20_000) -> Model:
+def is_trusted(text: str, passages: list[str], least: float = 0.6) -> bool:
+    """Whether ``certain_share`` is ``least`` or more; ends once too many passages say nothing certain."""
+    low = text.lower()
+    if not any(h in low for h in _CERTAIN_HINTS) and not _SLOT_HINT.search(text):
+        return False
+    ps = [p for k, p in enumerate(passages) if not is_heading(p, k)]
+    left = len(ps)
+    # But for filler, whose hints may stand in other passages, only a passage with a hint can hold certain wording.
+    filler = any(h in low for h in ("ipsum", "amet", "dolor"))
+    for p in ps:
+        if not ((filler or SLOT in p or any(h in p.lower() for h in _CERTAIN_HINTS)) and _is_certain(p)):
+            left -= 1
+            if left / len(ps) < least:
+                return False
+    return left > 0
+
+
+def learn(documents: DataFrame, doc_id: str, text: str, *, sample: int = 8_000, longest: int = 20_000, common: float = 0.004) -> Model:
     """Fit on a sample of about ``sample`` records, those whose id has the least hashes; among them the trusted are the
-    labelled ones. Of the sample, records beyond ``longest`` code points are left out. No other step samples."""
+    labelled ones. Of the sample, records beyond ``longest`` code points are left out. What is common is counted over
+    all records; no other step samples."""
     rows = documents.where(F.col(text).isNotNull())
     n = rows.count()
     share = 1.0 if n <= sample else sample / n
     place = F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 30)) / float(1 << 30)
     texts = [r[0] for r in rows.where((place < share) & (F.length(text) <= longest)).select(text).collect()]
-    return learn_from(sorted(texts))
+    return learn_from(sorted(texts), common_wordings(rows.select(text), common, texts))
 
 
 def wordings(passages: list[str]) -> tuple[frozenset[str], set[str]]:
@@ -229,19 +256,74 @@ def wordings(passages: list[str]) -> tuple[frozenset[str], set[str]]:
     return frozenset(k for k, heading in keys if not heading) or frozenset(every), every
 
 
-def learn_from(texts: list[str], common: float = 0.004) -> Model:
-    """Fit on the records that the fixed patterns tell for certain, and the others. Passages in more than ``common`` of
-    the others are neutral if they hold no slot and no certain wording and the seeds do not speak for residue. Records
-    that say the same count once, whatever their titles."""
+def _said(texts: list[str]) -> dict[frozenset[str], set[str]]:
+    """All wordings of the records that say the same, the trusted records aside."""
+    said: dict[frozenset[str], set[str]] = {}
+    for t in texts:
+        if not is_trusted(t, ps := split_passages(t)):
+            body, every = wordings(ps)
+            said.setdefault(body, set()).update(every)
+    return said
+
+
+def is_common(n: int, of: int, share: float, deviations: float = 3.0) -> bool:
+    """Whether ``n`` records of ``of`` show a share above ``share``, by the lower end of Wilson's interval, so that the
+    same wording counts as common in small tables as in large ones; what stands in one record only is none."""
+    p, q = n / of, deviations * deviations / of
+    return n > 1 and (p + q / 2 - math.sqrt(q * (p * (1 - p) + q / 4))) / (1 + q) > share
+
+
+def _hash(key: str) -> int:
+    return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def common_wordings(texts: DataFrame, share: float, known: list[str]) -> set[str]:
+    """Passage keys in more than ``share`` of all records but the trusted ones; records that say the same count once.
+    ``texts`` has one column. Pairs of hashes are shuffled; the wording comes from the ``known`` texts, and by another
+    reading of all texts if one is in none of them. What is collected ends at the share."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, bodies = [], []
+            for body, every in _said(batch.column(0).to_pylist()).items():
+                b = _hash("\n".join(sorted(body)))
+                hashes = [None, *(_hash(k) for k in every if SLOT not in k)]
+                keys += hashes
+                bodies += [b] * len(hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.int64())], names=["wording", "body"])
+
+    # The row without a wording counts the records.
+    counts = texts.mapInArrow(pairs, "wording long, body long").groupBy("wording").agg(F.count_distinct("body").alias("n")).where("n > 1 or wording is null").orderBy(F.desc("n"), F.col("wording").isNotNull())
+    limit = 4096
+    while True:
+        top = counts.limit(limit).collect()
+        if len(top) < limit or not is_common(top[-1]["n"], top[0]["n"], share):
+            break
+        limit *= 4
+    heavy = {r["wording"] for r in top if r["wording"] is not None and is_common(r["n"], top[0]["n"], share)}
+    found = {k for t in known for p in split_passages(t) if _hash(k := passage_key(p)) in heavy} if heavy else set()
+    lost = heavy - set(map(_hash, found))
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = {k for t in batch.column(0).to_pylist() for p in split_passages(t) if _hash(k := passage_key(p)) in lost}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(keys), pa.string())], names=["key"])
+
+    return found | ({r[0] for r in texts.mapInArrow(names, "key string").distinct().collect()} if lost else set())
+
+
+def learn_from(texts: list[str], sayings: set[str] | None = None, common: float = 0.004) -> Model:
+    """Fit on the records that the fixed patterns tell for certain, and the others. ``sayings``, by default the passages
+    in more than ``common`` of the others, are neutral if they hold no slot and no certain wording and the seeds do not
+    speak for residue. Records that say the same count once, whatever their titles."""
     sure, others = [], []
     for t in texts:
-        (sure if certain_share(t) >= 0.6 else others).append(t)
-    said: dict[frozenset[str], set[str]] = {}
-    for t in others:
-        body, every = wordings(split_passages(t))
-        said.setdefault(body, set()).update(every)
-    seen = Counter(k for every in said.values() for k in every)
-    sayings = {k for k, n in seen.items() if n > max(8, common * len(said)) and SLOT not in k and not _CERTAIN.search(k)}
+        (sure if is_trusted(t, split_passages(t)) else others).append(t)
+    if sayings is None:
+        said = _said(others)
+        seen = Counter(k for every in said.values() for k in every)
+        sayings = {k for k, n in seen.items() if is_common(n, len(said), common)}
+    sayings = {k for k in sayings if SLOT not in k and not _CERTAIN.search(k)}
 
     # One wording counts once however often its record is repeated.
     sure, others = list(dict.fromkeys(sure)), list(dict.fromkeys(others))

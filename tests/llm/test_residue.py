@@ -83,3 +83,20 @@ def test_a_footer_in_many_different_notes_stays_neutral():
     model = residue.learn_from(notes + [foot] * 20)
     assert residue.passage_key(foot) in model.neutral
     assert not residue.is_residue(residue.judge(foot, model), 0.45)
+
+
+def test_common_wordings_are_counted_over_all_records(spark):
+    foot = "Kept in the shared notebook."
+    notes = [t for _, t, w in _make(5, 2000) if not w]
+    rows = [(k, f"{t}\n{foot}" if k % 40 == 0 else t) for k, t in enumerate(notes)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(7)
+    assert residue.passage_key(foot) in residue.learn(df, "id", "text", sample=50).neutral
+    few = residue.common_wordings(df.select("text"), 0.004, [])
+    assert few == residue.common_wordings(df.select("text").repartition(3), 0.004, [t for _, t in rows])
+    assert few == residue.common_wordings(df.select("text").union(df.select("text")), 0.004, [])
+
+
+@pytest.mark.parametrize("n", [100, 1000, 10_000, 1_000_000])
+def test_common_is_alike_at_every_size(n):
+    assert residue.is_common(n * 4 // 100, n, 0.004)
+    assert not residue.is_common(n // 300, n, 0.004) and not residue.is_common(1, n, 0.004)
