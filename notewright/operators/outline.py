@@ -42,10 +42,22 @@ def with_parents(pages: DataFrame, section: list[str], order: str, page_id: str,
 
 
 def with_ancestors(pages: DataFrame, section: list[str], order: str, name: str, deepest: int = 12) -> DataFrame:
-    """``ancestor_names``: from the top down to the parent. One window; steps beyond ``deepest`` come by ``lineage``."""
+    """``ancestor_names``: from the top down to the parent. One window; of the sections with pages below ``deepest``
+    steps, those pages take their names by ``lineage``, so the depth has no cap. ``order`` is unique in a section."""
     w = W.partitionBy(*section).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     last = [F.last(F.when(F.col("depth") == k, F.col(name)), ignorenulls=True).over(w) for k in range(1, deepest + 1)]
-    return pages.withColumn("ancestor_names", F.slice(F.array(*last), 1, F.least(F.col("depth"), F.lit(deepest + 1)) - 1))
+    out = pages.withColumn("ancestor_names", F.slice(F.array(*last), 1, F.least(F.col("depth"), F.lit(deepest + 1)) - 1))
+    if pages.where(F.col("depth") > deepest + 1).isEmpty():
+        return out
+    at = F.to_json(F.struct(*section, order))
+    most = F.max("depth").over(W.partitionBy(*section))
+    rows = pages.select(*dict.fromkeys([*section, order]), "depth", at.alias("__at"), F.col(name).alias("__name")).withColumn("__most", most).where(F.col("__most") > deepest + 1)
+    up = lineage(with_parents(rows, section, order, "__at").select("__at", "parent_id"), "__at")
+    steps = up.join(rows.where(F.col("depth") > deepest + 1).select("__at"), "__at").select("__at", F.posexplode("ancestor_ids").alias("__step", "__up"))
+    names = rows.select(F.col("__at").alias("__up"), "__name")
+    found = steps.join(names, "__up").groupBy("__at").agg(F.sort_array(F.collect_list(F.struct((-F.col("__step")).alias("o"), F.col("__name").alias("n")))).alias("__names"))
+    found = found.select("__at", F.transform("__names", lambda x: x["n"]).alias("__names"))
+    return out.withColumn("__at", at).join(found, "__at", "left").withColumn("ancestor_names", F.coalesce("__names", "ancestor_names")).drop("__at", "__names")
 
 
 def lineage(pages: DataFrame, page_id: str) -> DataFrame:

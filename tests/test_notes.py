@@ -82,6 +82,15 @@ def test_outline_equals_a_stack(spark):
     assert lin == {str(k): [str(x) for x in reversed(v[2])] for k, v in want.items()}
 
 
+def test_ancestors_of_deep_pages_are_whole_by_default(spark):
+    levels = list(range(1, 31)) + [20, 31, 2, 14, 15]
+    rows = [(k, s, lv, f"n{k}") for s in (None, "a") for k, lv in enumerate(levels)] + [(0, "b", 1, "n0"), (1, "b", 2, "n1")]
+    df = outline.with_depth(spark.createDataFrame(rows, "ord int, sec string, level int, name string"), ["sec"], "ord", "level")
+    got = {(r.sec, r.ord): r.ancestor_names for r in outline.with_ancestors(df, ["sec"], "ord", "name").collect()}
+    want = {(s, k): [f"n{x}" for x in w[2]] for s in (None, "a") for k, w in enumerate(_stack(levels))}
+    assert got == want | {("b", 0): [], ("b", 1): ["n0"]}
+
+
 def test_paths_never_meet(spark):
     df = spark.createDataFrame([(1, "a.md"), (2, "a.md"), (3, "a (2).md"), (4, "a.md"), (5, "b")], "id int, path string")
     got = [r.unique_path for r in outline.unique_paths(df, "path", "id").orderBy("id").collect()]
