@@ -54,10 +54,10 @@ def count_tokens(df: DataFrame, text: str, keep: list[str], path: str = TOKENIZE
     return df.select(F.col(text), *keep).mapInArrow(run, schema)
 
 
-def _shares(stats: dict[str, dict[int, tuple[int, int]]], rest: dict[str, int]) -> dict[str, float]:
+def _shares(stats: dict[str, dict[float, tuple[int, int]]], rest: dict[str, int]) -> dict[str, float]:
     """For each source the factor c with which inclusion probabilities min(1, c w) fill the rest in expectation.
 
-    ``stats``: by source and weight step the number of tokens; at most ``steps`` weights a source."""
+    ``stats``: by source and weight step the number of tokens; a bounded number of weights a source."""
     out = {}
     for s, by_step in stats.items():
         want, total = rest.get(s, 0), sum(t for t, _ in by_step.values())
@@ -89,15 +89,15 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str, text: str, source
     rest is the longest run in Pareto order that does not exceed it. Documents of null, blank or unlisted sources and
     those without tokens take no part; repeated texts under own ids count each; a source without documents is reported
     with zeros. The draw depends on ids and ``seed`` alone, so a repeated or recovered run gives the same mix. A
-    document's weight in the draw grows with its length up to ``steps`` tokens: the shortest are repeated last.
+    document's weight in the draw is its number of tokens, rounded down to one of ``steps`` sizes in each doubling.
     """
     keep = Scratch(documents.sparkSession)
     wanted = {r.source: (r.target_share, int(r.max_repeats)) for r in targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null").collect()}
     named = documents.select(F.col(doc_id).alias("doc"), source_name(F.col(source)).alias("src"), F.col(text).alias("txt")).where(F.col("src").isin(*wanted)) if wanted else documents.select(F.col(doc_id).alias("doc"), F.col(source).cast("string").alias("src"), F.col(text).alias("txt")).where(F.lit(False))
     # The texts are read once; what follows works on a narrow table.
-    sized = keep.save(count_tokens(named, "txt", ["doc", "src"], tokenizer).where("tokens > 0").withColumn("step", F.least(F.col("tokens"), F.lit(steps))))
-    stats: dict[str, dict[int, tuple[int, int]]] = defaultdict(dict)
-    for r in sized.groupBy("src", "step").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect():  # at most sources x steps rows
+    sized = keep.save(count_tokens(named, "txt", ["doc", "src"], tokenizer).where("tokens > 0").withColumn("step", F.pow(F.lit(2.0), F.floor(F.log2("tokens") * steps) / steps)))
+    stats: dict[str, dict[float, tuple[int, int]]] = defaultdict(dict)
+    for r in sized.groupBy("src", "step").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect():  # at most sources x steps x doublings of the length rows
         stats[r.src][r.step] = (r.t, r.n)
     size = {s: sum(t for t, _ in stats[s].values()) if s in stats else 0 for s in wanted}
     total = sum(size.values()) if total_tokens is None else total_tokens

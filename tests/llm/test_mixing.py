@@ -58,3 +58,12 @@ def test_tokens_decode_to_the_text():
     e = mixing._encoder(mixing.TOKENIZER)
     for t in ("Größe 12.5 % <|endoftext|>", "a\n\n  b" * 50, "é́"):
         assert e.decode(e.encode_ordinary(t)) == t
+
+
+def test_weights_grow_with_the_tokens_of_long_documents(spark):
+    rows = [(f"d{k}", "paper", "word " * (1000 if k % 2 else 100)) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id string, source string, text string")
+    targets = spark.createDataFrame([("paper", 1.0, 1)], "source string, target_share double, max_repeats int")
+    out = mixing.mix(df, targets, "doc_id", "text", "source", total_tokens=60_000)[0].collect()
+    long = sum(int(r.doc_id[1:]) % 2 for r in out)
+    assert 4 < long / max(1, len(out) - long) < 25
