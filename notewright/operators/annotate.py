@@ -139,14 +139,18 @@ def upsert(cache: DataFrame, rows: DataFrame, key: str = "page_key") -> DataFram
     return cache.join(rows.select(key), key, "left_anti").unionByName(rows)
 
 
-# Tags and methods that tell a domain, the first that meets holds.
+# Tags that tell a domain; the first domain that is met holds.
 DOMAIN_TAGS = {
-    "adcs": "adc-development antibody-drug-conjugates adc-design adc-optimization adc-payloads adc-targets adc-therapy".split(),
-    "computational-biology": "computational-oncology bioinformatics-pipeline scrna-seq single-cell-genomics bulk-rna-seq computational-biology genomics transcriptomics wes variant-calling".split(),
-    "ai-ml": "machine-learning deep-learning artificial-intelligence neural-networks ai-tools ai-applications".split(),
-    "drug-discovery": "drug-discovery target-identification virtual-screening small-molecule hit-identification lead-optimization".split(),
-    "immuno-oncology": "immuno-oncology immunotherapy checkpoint-inhibitors tumor-microenvironment car-t immune-evasion oncology".split(),
-}
+    "adcs": ["adc-development", "antibody-drug-conjugates", "adc-design", "adc-optimization", "adc-payloads", "adc-targets", "adc-therapy"],
+    "computational-biology": [
+        "computational-oncology", "bioinformatics-pipeline", "scrna-seq", "single-cell-genomics", "bulk-rna-seq", "computational-biology",
+        "genomics", "transcriptomics", "wes", "variant-calling",
+    ],
+    "ai-ml": ["machine-learning", "deep-learning", "artificial-intelligence", "neural-networks", "ai-tools", "ai-applications"],
+    "drug-discovery": ["drug-discovery", "target-identification", "virtual-screening", "small-molecule", "hit-identification", "lead-optimization"],
+    "immuno-oncology": ["immuno-oncology", "immunotherapy", "checkpoint-inhibitors", "tumor-microenvironment", "car-t", "immune-evasion", "oncology"],
+}
+# Methods that tell a domain where no tag does.
 DOMAIN_METHODS = {
     "adcs": ["adc", "bispecific antibody", "monoclonal antibody"],
     "computational-biology": ["scrna-seq", "bulk rna-seq", "spatial transcriptomics", "deconvolution", "clustering", "differential expression"],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from notewright.functions import text as T
 
-#: Types that have no index pages.
+#: Types that have no index pages.
 NOT_INDEXED = ("methods", "roles", "departments", "conferences")
 
 
@@ -22,27 +22,61 @@ def merge(first: DataFrame, second: DataFrame) -> DataFrame:
     return by_name.withColumn("n", F.row_number().over(ident)).where("n = 1").drop("n", "tier")
 
 
-def lists(mentions: DataFrame) -> DataFrame:
+def lists(mentions: DataFrame, variants: DataFrame | None = None, disease_names: DataFrame | None = None) -> DataFrame:
     """(doc_id, entity_type, names): distinct lower canonicals, sorted. Of several spellings the last one with an upper
-    initial stands, else the first."""
+    initial stands, else the first.
+
+    Of one ontology id of a type the first mention stands; a disease without one takes it from ``disease_names`` (key,
+    mondo_id) if that knows its name. With ``variants`` (entity_type, variant, canonical, ord) methods and companies
+    come out as the dictionary spells them, with or without blanks and hyphens."""
+    rows = mentions.withColumn("__id", F.coalesce("ontology_id", F.lit("")))
+    if disease_names is not None:
+        known = disease_names.groupBy(F.col("key").alias("__key")).agg(F.min("mondo_id").alias("__known"))
+        rows = rows.withColumn("__key", F.when((F.col("entity_type") == "diseases") & (F.col("__id") == ""), F.lower("canonical")))
+        rows = rows.join(known, "__key", "left").withColumn("__id", F.when(F.col("__id") == "", F.coalesce("__known", F.lit(""))).otherwise(F.col("__id"))).drop("__key", "__known")
+    # Partial minima: a page with a third of all mentions is no burden.
+    seen = rows.where("__id <> ''").groupBy("doc_id", "entity_type", "__id").agg(F.min("ord").alias("__first"))
+    rows = rows.join(seen, ["doc_id", "entity_type", "__id"], "left").where("__first is null or ord = __first")
+    if variants is not None:
+        rows = _named(rows, variants).withColumn("canonical", F.coalesce("__named", "canonical"))
     upper = F.substring("canonical", 1, 1) != F.lower(F.substring("canonical", 1, 1))
-    one = mentions.groupBy("doc_id", "entity_type", F.lower("canonical").alias("l")).agg(F.max(F.when(upper, F.struct("ord", "canonical"))).alias("u"), F.min(F.struct("ord", "canonical")).alias("f"))
+    one = rows.groupBy("doc_id", "entity_type", F.lower("canonical").alias("l")).agg(F.max(F.when(upper, F.struct("ord", "canonical"))).alias("u"), F.min(F.struct("ord", "canonical")).alias("f"))
     return one.groupBy("doc_id", "entity_type").agg(F.array_sort(F.collect_list(F.coalesce("u.canonical", "f.canonical"))).alias("names"))
 
 
-def entity_map(mentions: DataFrame) -> DataFrame:
+def _bare(c: str):
+    return F.regexp_replace(F.lower(c), "[ -]", "")
+
+
+def _named(rows: DataFrame, variants: DataFrame) -> DataFrame:
+    """``__named``: what the dictionary calls a method or company. Both dictionaries are one list, methods first; of one
+    variant the last entry's canonical holds, of several variants that are alike without blanks and hyphens the first."""
+    listed = variants.where(F.col("entity_type").isin("methods", "companies"))
+    place = F.struct((F.col("entity_type") == "companies").alias("c"), "ord", "canonical")
+    whole = listed.groupBy(F.col("variant").alias("__v")).agg(F.max_by("canonical", place).alias("__whole"), F.min(place).alias("__place"))
+    alike = whole.groupBy(_bare("__v").alias("__b")).agg(F.min_by("__whole", "__place").alias("__alike"))
+    named = F.col("entity_type").isin("methods", "companies")
+    rows = rows.withColumn("__v", F.when(named, F.lower("canonical"))).withColumn("__b", F.when(named, _bare("canonical")))
+    rows = rows.join(whole.drop("__place"), "__v", "left").join(alike, "__b", "left")
+    return rows.withColumn("__named", F.coalesce("__whole", "__alike")).drop("__v", "__b", "__whole", "__alike")
+
+
+def entity_map(mentions: DataFrame, variants: DataFrame | None = None, disease_names: DataFrame | None = None) -> DataFrame:
     """(doc_id, entities): a map from type to its list."""
-    return lists(mentions).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "names")))).alias("entities"))
+    return lists(mentions, variants, disease_names).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "names")))).alias("entities"))
 
 
 def link_texts(mentions: DataFrame, shortest: int = 3) -> DataFrame:
-    """(doc_id, text, canonical): what may become a link. Roles never do, nor texts of two characters; the last type's
-    mention of a text holds."""
+    """(doc_id, text, canonical): what may become a link: the texts of the mentions and their canonicals themselves.
+    Roles never do, nor texts of two characters; types come in their order, and the last mention that names a text
+    holds, its canonical after its text."""
     from notewright.operators.extract import TYPES
 
-    rank = F.array_position(F.array(*map(F.lit, TYPES)), F.col("entity_type"))
-    rows = mentions.where((F.col("entity_type") != "roles") & (F.length("text") >= shortest))
-    return rows.groupBy("doc_id", "text").agg(F.max_by("canonical", F.struct(rank, F.col("ord"))).alias("canonical"))
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, TYPES)), F.col("entity_type")), F.lit(0))
+    both = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("t")), F.struct(F.lit(1).alias("k"), F.col("canonical").alias("t")))).alias("x")
+    rows = mentions.where((F.col("entity_type") != "roles") & F.col("canonical").isNotNull()).select("doc_id", "ord", rank.alias("rank"), "canonical", both)
+    rows = rows.where(F.length("x.t") >= shortest)
+    return rows.groupBy("doc_id", F.col("x.t").alias("text")).agg(F.max_by("canonical", F.struct("rank", "ord", "x.k")).alias("canonical"))
 
 
 def index(mentions: DataFrame, page: str = "page_key", live: DataFrame | None = None) -> DataFrame:
@@ -59,13 +93,14 @@ def subsidiaries(parents: DataFrame) -> DataFrame:
     return parents.where("parent is not null and child is not null").select("parent", "child").distinct().groupBy("parent").agg(F.array_sort(F.collect_list("child")).alias("children"))
 
 
-def pages(index_rows: DataFrame, genes: DataFrame, diseases: DataFrame, compounds: DataFrame, parents: DataFrame) -> DataFrame:
-    """(file_name, content): one Markdown page for each entity of the index, with what the ontologies know about it.
+def pages(index_rows: DataFrame, genes: DataFrame, diseases: DataFrame, compounds: DataFrame, parents: DataFrame, most_aliases: int | None = 10, most_parents: int | None = 5) -> DataFrame:
+    """(file_name, content): one Markdown page for each entity of the index, with what the ontologies know about it. A
+    page lists the first ``most_aliases`` aliases and ``most_parents`` parents (None: all).
 
     ``genes`` (symbol, name, hgnc_id, aliases), ``diseases`` (key, mondo_id, parents), ``compounds`` (canonical, target,
     class, variants), ``parents`` (child, parent)."""
-    g = genes.select(F.lit("genes").alias("entity_type"), F.col("symbol").alias("canonical"), F.struct(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("hgnc_id", F.lit("")).alias("id"), F.slice(F.coalesce("aliases", F.array()), 1, 10).alias("aliases")).alias("g"))
-    d = diseases.select(F.col("key").alias("k"), F.struct("mondo_id", F.slice(F.coalesce("parents", F.array()), 1, 5).alias("parents")).alias("d"))
+    g = genes.select(F.lit("genes").alias("entity_type"), F.col("symbol").alias("canonical"), F.struct(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("hgnc_id", F.lit("")).alias("id"), F.slice(F.coalesce("aliases", F.array()), 1, most_aliases or 1 << 30).alias("aliases")).alias("g"))
+    d = diseases.select(F.col("key").alias("k"), F.struct("mondo_id", F.slice(F.coalesce("parents", F.array()), 1, most_parents or 1 << 30).alias("parents")).alias("d"))
     c = compounds.select(F.lit("compounds").alias("entity_type"), "canonical", F.struct("target", "class", F.filter("variants", lambda v: v.rlike(r"^[mM]\d+$"))[0].alias("code")).alias("c"))
     p = parents.groupBy(F.col("child").alias("canonical")).agg(F.max("parent").alias("parent"))
     kids = subsidiaries(parents).withColumnRenamed("parent", "canonical")

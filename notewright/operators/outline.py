@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from notewright.functions import text as T
 from notewright.operators import ancestry
+from notewright.runtime import Scratch
 
 
 def with_depth(pages: DataFrame, section: list[str], order: str, level: str) -> DataFrame:
@@ -84,15 +85,18 @@ def first_wins(pages: DataFrame, key: str, value: str, order: str) -> DataFrame:
 
 def unique_paths(pages: DataFrame, path: str, order: str) -> DataFrame:
     """``unique_path``: a path that came before gets `` (2)``, `` (3)`` and so on before its ending. Rounds go on while
-    a numbered path meets one that stands by itself; an earlier row keeps the plainer path."""
-    out = pages.withColumn("unique_path", F.col(path))
-    for _ in range(8):
-        n = F.row_number().over(W.partitionBy("unique_path").orderBy(order))
-        stem, ending = F.regexp_extract("unique_path", r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract("unique_path", r"^(.*?)(\.[^./]*)?$", 2)
-        out = out.withColumn("__n", n).withColumn("unique_path", F.when(F.col("__n") > 1, F.concat(stem, F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), ending)).otherwise(F.col("unique_path"))).drop("__n")
-        if out.groupBy("unique_path").count().where("count > 1").limit(1).count() == 0:
-            return out
-    return out
+    a numbered path meets another; an earlier row keeps the plainer path. Each round adds to a path that meets one, and
+    the row that keeps a path keeps it for good, so they end. Only rows that met are numbered again; ``order`` is unique."""
+    keep = Scratch(pages.sparkSession)
+    stem, ending = F.regexp_extract("unique_path", r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract("unique_path", r"^(.*?)(\.[^./]*)?$", 2)
+    numbered = F.concat(stem, F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), ending)
+    w = W.partitionBy("unique_path").orderBy("__new", F.col(order))
+    rows = keep.save(pages.withColumn("unique_path", F.col(path)).withColumn("__new", F.lit(0)))
+    while True:
+        # A path taken in an earlier round stays with its row; those that come to it now queue behind.
+        rows = keep.save(rows.withColumn("__n", F.row_number().over(w)).withColumn("unique_path", F.when(F.col("__n") > 1, numbered).otherwise(F.col("unique_path"))).withColumn("__new", (F.col("__n") > 1).cast("int")).drop("__n"))
+        if rows.groupBy("unique_path").count().where("count > 1").isEmpty():
+            return rows.drop("__new")
 
 
 def in_notebooks(pages: DataFrame, column: str, only: list[str] | None = None, but: list[str] | None = None) -> DataFrame:

@@ -65,9 +65,11 @@ def with_moves(actions: DataFrame) -> DataFrame:
 
 
 def summary(actions: DataFrame, first: int = 10) -> DataFrame:
-    """(type, n, examples): the count of each type and its first keys, for a dry run."""
-    ranked = actions.withColumn("rn", F.row_number().over(W.partitionBy("type").orderBy("key")))
-    return ranked.groupBy("type").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("rn") <= first, F.col("key")))).alias("examples"))
+    """(type, n, examples): the count of each type and its first keys, for a dry run. The first keys are taken inside
+    each task before any is sent on, so a type that most rows have is no burden."""
+    ranked = actions.withColumn("rn", F.row_number().over(W.partitionBy("type").orderBy("key"))).where(F.col("rn") <= first)
+    examples = ranked.groupBy("type").agg(F.sort_array(F.collect_list("key")).alias("examples"))
+    return actions.groupBy("type").agg(F.count("*").alias("n")).join(examples, "type")
 
 
 def next_state(state: DataFrame, actions: DataFrame, written: DataFrame) -> DataFrame:
