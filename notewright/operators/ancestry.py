@@ -1,39 +1,44 @@
 """Hierarchies of unknown depth from parent-child links: roots, depths, paths, descendants and circles.
 
-A node may have several parents and links may close circles. A fixed hash names every ``spacing``-th node or so a
+A node may have several parents and links may close circles. A fixed hash names one node in ``spacing`` or so a
 splitter. Every node is walked upwards to its next splitters only; the splitters with those walks between them are
 a graph ``spacing`` times smaller and shallower, which is solved by itself; the two are then joined into whole
-distances and exact paths. Circles are found in the reduced graph; those that hold no splitter never get there and
-show themselves in the walks. Links are only joined, never gathered on the driver.
+distances and exact paths. Both the walks and the reduced graph are solved by doubling: what reaches 1, 2, 4 ...
+steps up is joined with itself, so the number of jobs grows with the logarithm of the depth. Circles are found in the
+reduced graph; those that hold no splitter never get there and show themselves in the walks. Links are only joined,
+never gathered in one task or on the driver.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.runtime import Scratch, is_empty
+from notewright.runtime import Scratch
 
 CYCLE, NONE = "CYCLE", "NONE"
 
 
 @dataclass
 class Ancestry:
-    """``walks``: (start, at, d[, path]) from each node up to its next splitters and roots, with what lies between.
-    ``hops``: those that end at a splitter or root. ``solved``: (node, root, d[, path]) of the splitters.
-    ``cyclic``: (node) on circles. ``nodes``: (node)."""
+    """``walks``: (start, at, d, stop[, path]) from each node up to its next splitters and roots, with what lies between.
+    ``hops``: those that end at a splitter or root. ``reach``: (start, at, d[, path]) from splitter to splitter.
+    ``cyclic``: (node) on circles. ``nodes``: (node, is_root, split)."""
 
     nodes: DataFrame
-    links: DataFrame
     walks: DataFrame
     hops: DataFrame
-    solved: DataFrame
+    reach: DataFrame
     cyclic: DataFrame
     scratch: Scratch
     with_paths: bool
 
+    def finish(self, result: DataFrame) -> DataFrame:
+        """Write what was read out of this, and delete all else that was written for it."""
+        return self.scratch.result(result)
+
 
 def clean_links(df: DataFrame, child, parent) -> tuple[DataFrame, DataFrame]:
     """Distinct links and distinct nodes. A row with a null parent is no link, yet its child is a node; a row with
@@ -51,168 +56,109 @@ def _best(df: DataFrame, keys: list[str], with_paths: bool) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(F.struct("d", "path")).alias("m")).select(*keys, "m.d", "m.path")
 
 
-def build(spark: SparkSession, links: DataFrame, nodes: DataFrame, with_paths: bool = False, spacing: int = 4) -> Ancestry:
+def _joined(a: DataFrame, b: DataFrame, with_paths: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Ways (start, at, d[, path]) of ``a`` that go on by those of ``b``, with ``extra`` columns of ``b``."""
+    x, y = a.alias("x"), b.alias("y")
+    path = [F.concat("x.path", F.slice("y.path", 2, 1 << 30)).alias("path")] if with_paths else []
+    return x.join(y, F.col("x.at") == F.col("y.start")).select("x.start", "y.at", (F.col("x.d") + F.col("y.d")).alias("d"), *[f"y.{e}" for e in extra], *path)
+
+
+def _doubled(keep: Scratch, edges: DataFrame, with_paths: bool) -> DataFrame:
+    """Every way of one edge or more in ``edges`` (start, at, d, stop[, path]) with the fewest links; a way ends at
+    ``stop``.
+
+    After k rounds the table holds the best ways of up to 2^k edges, each with its number of edges ``h``. A best way of
+    more begins with a best one of exactly 2^k, so only those are joined with what follows them, and each longer way
+    comes once. When none has 2^k edges, all are found, on circles too: best ways never go round."""
+    keys, rank = ["start", "at", "stop"], ["d", "path", "h", "full"] if with_paths else ["d", "h", "full"]
+    # ``full``: of 2^k edges, ``open``: and not at a stop. No round has a constant of its own, so all run the same code.
+    ways = keep.save(edges.select(*keys, "d", *(["path"] if with_paths else []), F.lit(1).cast("long").alias("h"), F.lit(True).alias("full"), (~F.col("stop")).cast("int").alias("open")), total="open")
+    while ways._notewright_total:
+        x, y = ways.where("open = 1").alias("x"), ways.alias("y")
+        path = [F.concat("x.path", F.slice("y.path", 2, 1 << 30)).alias("path")] if with_paths else []
+        longer = x.join(y, F.col("x.at") == F.col("y.start")).select("x.start", "y.at", "y.stop", (F.col("x.d") + F.col("y.d")).alias("d"), (F.col("x.h") + F.col("y.h")).alias("h"), "y.full", *path)
+        both = ways.withColumn("full", F.lit(False)).select(*keys, *rank).unionByName(longer.select(*keys, *rank))
+        best = both.groupBy(*keys).agg(F.min(F.struct(*rank)).alias("m")).select(*keys, "m.*")
+        grown = keep.save(best.withColumn("open", (F.col("full") & ~F.col("stop")).cast("int")), total="open")
+        keep.drop(ways)
+        ways = grown
+    return ways.drop("h", "full", "open")
+
+
+def build(spark: SparkSession, links: DataFrame, nodes: DataFrame, with_paths: bool = False, spacing: int = 8) -> Ancestry:
     """Walk, reduce and solve. ``links`` (child, parent) and ``nodes`` (node) are distinct; empty tables give empty
     results."""
     keep = Scratch(spark)
+    # One reading of the source; few nodes have several parents, so links are about as many as nodes.
     links = keep.save(links)
     rooted = links.select(F.col("child").alias("node")).distinct()
     nodes = nodes.join(rooted.withColumn("up", F.lit(True)), "node", "left")
     nodes = keep.save(nodes.select("node", F.col("up").isNull().alias("is_root"), (F.pmod(F.xxhash64("node"), F.lit(spacing)) == 0).alias("split")))
-    ends = nodes.where("is_root or split").select(F.col("node").alias("at"))
-    # A link that leads to an end carries that mark, so a walk needs one join a step.
-    marked = keep.save(links.join(ends.select(F.col("at").alias("parent"), F.lit(True).alias("stop")), "parent", "left").select("child", "parent", F.coalesce("stop", F.lit(False)).alias("stop")))
-
-    start = nodes.select(F.col("node").alias("start"), F.col("node").alias("at"), F.lit(0).cast("long").alias("d"))
-    if with_paths:
-        start = start.withColumn("path", F.array("at"))
-    frontier = start.withColumn("stop", F.lit(False))
-    parts: list[DataFrame] = []
-    while True:
-        step = frontier.where("not stop").join(marked, frontier["at"] == marked["child"]).select(
-            "start", F.col("parent").alias("at"), (F.col("d") + 1).alias("d"), marked["stop"], *([F.concat("path", F.array("parent")).alias("path")] if with_paths else [])
-        )
-        # Steps come in order of length: what an earlier one reached is not longer. (start, start) is a circle.
-        for p in parts:
-            step = step.join(p.select("start", "at"), ["start", "at"], "left_anti")
-        keys = ["start", "at", "stop"]
-        fresh = keep.save(_best(step, keys, with_paths))
-        if is_empty(fresh):
-            break
-        parts.append(fresh)
-        if len(parts) > 4:  # few tables to look through, each row written twice at most per merge
-            merged = keep.save(_union(parts))
-            for p in parts[:-1]:
-                keep.drop(p)
-            parts = [merged]
-        frontier = fresh
-    walks = _union(parts) if parts else frontier.where(F.lit(False))
+    ends = nodes.where("is_root or split").select(F.col("node").alias("parent"), F.lit(True).alias("stop"))
+    path = [F.array("child", "parent").alias("path")] if with_paths else []
+    edges = links.join(ends, "parent", "left").select(F.col("child").alias("start"), F.col("parent").alias("at"), F.lit(1).cast("long").alias("d"), F.coalesce("stop", F.lit(False)).alias("stop"), *path)
+    walks = _doubled(keep, edges, with_paths)
     hops = walks.where("stop")
     splitters = nodes.where("split and not is_root").select("node")
-    between = hops.join(splitters.withColumnRenamed("node", "start"), "start", "left_semi")
-    roots = nodes.where("is_root").select(F.col("node").alias("at"))
-    reduced = keep.save(between.join(splitters.withColumnRenamed("node", "at"), "at", "left_semi"))
-    direct = between.join(roots, "at", "left_semi")
-    solved = _solve(keep, reduced, direct, with_paths)
-    cyclic = _circles(keep, walks, reduced)
-    return Ancestry(nodes, links, walks, hops, solved, cyclic, keep, with_paths)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _solve(keep: Scratch, reduced: DataFrame, direct: DataFrame, with_paths: bool) -> DataFrame:
-    """Shortest ways of each splitter to each root, by relaxing from the roots downwards."""
-    cols = ["node", "root", "d", *(["path"] if with_paths else [])]
-    state = keep.save(direct.select(F.col("start").alias("node"), F.col("at").alias("root"), *cols[2:]))
-    changed = state
-    while not is_empty(changed):
-        r, c = reduced.alias("r"), changed.alias("c")
-        path = [F.concat("r.path", F.slice("c.path", 2, 1 << 30)).alias("path")] if with_paths else []
-        offered = _best(r.join(c, F.col("r.at") == F.col("c.node")).select(F.col("r.start").alias("node"), "c.root", (F.col("r.d") + F.col("c.d")).alias("d"), *path), ["node", "root"], with_paths)
-        o, s = offered.alias("o"), state.alias("s")
-        worse = (F.col("o.d") < F.col("s.d")) | ((F.col("o.d") == F.col("s.d")) & (F.col("o.path") < F.col("s.path"))) if with_paths else F.col("o.d") < F.col("s.d")
-        better = keep.save(o.join(s, ["node", "root"], "left").where(F.col("s.d").isNull() | worse).select("node", "root", *[f"o.{x}" for x in cols[2:]]))
-        if is_empty(better):
-            break
-        state, changed = keep.save(_best(state.unionByName(better), ["node", "root"], with_paths)), better
-    return state
-
-
-def _circles(keep: Scratch, walks: DataFrame, reduced: DataFrame) -> DataFrame:
+    between = hops.join(splitters.withColumnRenamed("node", "start"), "start", "left_semi").join(splitters.withColumnRenamed("node", "at"), "at", "left_semi")
+    reach = _doubled(keep, between.withColumn("stop", F.lit(False)), with_paths).drop("stop")
+    cyclic = keep.save(_circles(walks, reach))
+    return Ancestry(nodes, walks, hops, reach, cyclic, keep, with_paths)
+
+
+def _circles(walks: DataFrame, reach: DataFrame) -> DataFrame:
     """Nodes that can reach themselves."""
     # Without a splitter on the way: the walk itself comes back.
     closed = walks.where("start = at").select(F.col("start").alias("node"))
-    # Splitters: peel off those without a way in or out until none goes, then name the strong components.
-    edges = keep.save(reduced.where("start <> at").select(F.col("start").alias("a"), F.col("at").alias("b")))
-    left = edges._notewright_rows
-    while left:
-        edges2 = edges
-        for _ in range(3):
-            edges2 = edges2.join(edges2.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges2.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-        edges2 = keep.save(edges2)
-        now = edges2._notewright_rows
-        edges = edges2
-        if now == left:
-            break
-        left = now
-    own = reduced.where("start = at").select(F.col("start").alias("node"), F.col("start").alias("label"))
-    labels = _components(keep, edges) if left else None
-    labels = keep.save((labels.unionByName(own) if labels is not None else own).distinct())
+    # Splitters that reach each other are one component, named by its least member.
+    x, y = reach.alias("x"), reach.alias("y")
+    mutual = x.join(y, (F.col("x.start") == F.col("y.at")) & (F.col("x.at") == F.col("y.start"))).select(F.col("x.start").alias("node"), F.col("x.at").alias("label"))
+    labels = mutual.groupBy("node").agg(F.min("label").alias("label"))
     # Any other node lies on a circle with splitters if it reaches one of a component that reaches it.
     to = walks.where("stop").join(labels.withColumnRenamed("node", "at"), "at").select(F.col("start").alias("node"), "label").distinct()
     frm = walks.join(labels.withColumnRenamed("node", "start"), "start").select(F.col("at").alias("node"), "label").distinct()
-    return keep.save(closed.union(labels.select("node")).union(to.join(frm, ["node", "label"]).select("node")).distinct())
-
-
-def _components(keep: Scratch, edges: DataFrame) -> DataFrame:
-    """(node, label) of the strong components of two nodes or more. Each round colours every node with the greatest
-    node that reaches it; what reaches its colour's node inside the colour is one component and leaves."""
-    done: list[DataFrame] = []
-    while not is_empty(edges):
-        colour = keep.save(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label")))
-        while True:
-            sent = edges.join(colour, edges["a"] == colour["node"]).select(F.col("b").alias("node"), F.col("label").alias("got")).groupBy("node").agg(F.max("got").alias("got"))
-            nxt = keep.save(colour.join(sent, "node", "left").select("node", F.greatest("label", F.coalesce("got", "label")).alias("label"), (F.col("got") > F.col("label")).alias("moved")))
-            colour = nxt.select("node", "label")
-            if is_empty(nxt.where("moved")):
-                break
-        inner = keep.save(edges.join(colour.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(colour.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la = lb").select("a", "b", F.col("la").alias("label")))
-        found = keep.save(colour.where("node = label"))
-        fresh = found
-        while True:
-            back = inner.join(fresh.select(F.col("node").alias("b")), "b").select(F.col("a").alias("node"), "label").distinct()
-            fresh = keep.save(back.join(found.select("node"), "node", "left_anti"))
-            if is_empty(fresh):
-                break
-            found = keep.save(found.unionByName(fresh))
-        size = found.groupBy("label").count().where("count > 1").select("label")
-        done.append(keep.save(found.join(size, "label", "left_semi").select("node", "label")))
-        gone = found.select("node")
-        edges = keep.save(edges.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"))
-    return _union(done)
+    return closed.union(labels.select("node")).union(to.join(frm, ["node", "label"]).select("node")).distinct()
 
 
 def roots_of(a: Ancestry) -> DataFrame:
     """(node, root, d[, path]): one row ``CYCLE``/-1 for a node on a circle; for any other node one row for each root
     it reaches, with the fewest links; ``NONE``/-1 where it reaches none."""
-    extra = ["path"] if a.with_paths else []
+    p, extra = a.with_paths, ["path"] if a.with_paths else []
     roots = a.nodes.where("is_root").select("node")
-    self_rows = roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("d"), *([F.array("node").alias("path")] if extra else []))
-    at_root = a.hops.join(roots.withColumnRenamed("node", "at"), "at", "left_semi").select(F.col("start").alias("node"), F.col("at").alias("root"), "d", *extra)
-    h, s = a.hops.alias("h"), a.solved.alias("s")
-    path = [F.concat("h.path", F.slice("s.path", 2, 1 << 30)).alias("path")] if extra else []
-    via = h.join(s, F.col("h.at") == F.col("s.node")).select(F.col("h.start").alias("node"), "s.root", (F.col("h.d") + F.col("s.d")).alias("d"), *path)
-    found = _best(self_rows.unionByName(at_root).unionByName(via), ["node", "root"], a.with_paths)
-    found = a.scratch.save(found.join(a.cyclic, "node", "left_anti"))
-    nothing = [F.lit(None).cast(found.schema["path"].dataType).alias("path")] if extra else []
-    circles = a.cyclic.select("node", F.lit(CYCLE).alias("root"), F.lit(-1).cast("long").alias("d"), *nothing)
-    lost = a.nodes.select("node").join(found.select("node").distinct(), "node", "left_anti").join(a.cyclic, "node", "left_anti").select("node", F.lit(NONE).alias("root"), F.lit(-1).cast("long").alias("d"), *nothing)
-    return found.unionByName(circles).unionByName(lost)
+    self_rows = roots.select(F.col("node").alias("start"), F.col("node").alias("at"), F.lit(0).cast("long").alias("d"), *([F.array("node").alias("path")] if extra else []))
+    direct = a.hops.join(roots.withColumnRenamed("node", "at"), "at", "left_semi").select("start", "at", "d", *extra)
+    # Of the splitters: those a hop from a root, and those that reach such a one.
+    solved = _best(direct.unionByName(_joined(a.reach, direct, with_paths=p)), ["start", "at"], p)
+    found = _best(self_rows.unionByName(direct).unionByName(_joined(a.hops, solved, with_paths=p)), ["start", "at"], p)
+    ways = found.groupBy(F.col("start").alias("node")).agg(F.collect_list(F.struct(F.col("at").alias("root"), "d", *extra)).alias("ways"))
+    # Circles and nodes without a root come beside the nodes, so each node is looked up once.
+    rows = a.nodes.select("node").join(a.cyclic.withColumn("on_circle", F.lit(True)), "node", "left").join(ways, "node", "left")
+    none = F.lit(None).cast("array<string>").alias("path")
+
+    def sign(name: str) -> Column:
+        return F.array(F.struct(F.lit(name).alias("root"), F.lit(-1).cast("long").alias("d"), *([none] if extra else [])))
+
+    rows = rows.select("node", F.inline(F.when(F.col("on_circle"), sign(CYCLE)).otherwise(F.coalesce("ways", sign(NONE)))))
+    return rows
+
+
+def reaching(a: Ancestry, root: str) -> DataFrame:
+    """(node): nodes that reach ``root``, which has no link upwards, by one link or more."""
+    direct = a.hops.where(F.col("at") == root).select("start").distinct()
+    far = a.reach.join(direct.withColumnRenamed("start", "at"), "at", "left_semi").select("start")
+    splitters = direct.union(far).distinct().withColumnRenamed("start", "at")
+    return direct.union(a.hops.join(splitters, "at", "left_semi").select("start")).distinct().withColumnRenamed("start", "node")
 
 
 def descendants_of(a: Ancestry) -> DataFrame:
     """(node, descendant, d): every pair in which the descendant reaches the node by one or more links, with the
     fewest links. Nodes on circles take no part; circles are reported by ``roots_of``."""
-    splitter_hops = a.scratch.save(a.hops.join(a.nodes.where("split and not is_root").select(F.col("node").alias("at")), "at", "left_semi").select("start", "at", "d"))
-    reach = fresh = splitter_hops
-    while True:
-        f, r = fresh.alias("f"), splitter_hops.join(a.nodes.where("split").select(F.col("node").alias("start")), "start", "left_semi").alias("r")
-        offered = f.join(r, F.col("f.at") == F.col("r.start")).select("f.start", "r.at", (F.col("f.d") + F.col("r.d")).alias("d")).groupBy("start", "at").agg(F.min("d").alias("d"))
-        o, k = offered.alias("o"), reach.alias("k")
-        fresh = a.scratch.save(o.join(k, ["start", "at"], "left").where(F.col("k.d").isNull() | (F.col("o.d") < F.col("k.d"))).select("start", "at", "o.d"))
-        if is_empty(fresh):
-            break
-        reach = a.scratch.save(reach.unionByName(fresh).groupBy("start", "at").agg(F.min("d").alias("d")))
-    w, r = a.walks.alias("w"), reach.alias("r")
-    far = r.join(w, F.col("r.at") == F.col("w.start")).select("r.start", "w.at", (F.col("r.d") + F.col("w.d")).alias("d"))
-    near = a.walks.select("start", "at", "d").unionByName(reach)
-    pairs = near.unionByName(far).groupBy("start", "at").agg(F.min("d").alias("d")).where("start <> at")
-    pairs = pairs.join(a.cyclic.withColumnRenamed("node", "start"), "start", "left_anti").join(a.cyclic.withColumnRenamed("node", "at"), "at", "left_anti")
+    ways, hops, reach = (df.select("start", "at", "d") for df in (a.walks, a.hops, a.reach))
+    ways = ways.join(a.cyclic.withColumnRenamed("node", "start"), "start", "left_anti")
+    hops = hops.join(a.cyclic.withColumnRenamed("node", "start"), "start", "left_anti")
+    far = a.scratch.save(_best(hops.unionByName(_joined(hops, reach)), ["start", "at"], False))
+    pairs = _best(ways.unionByName(far).unionByName(_joined(far, a.walks)), ["start", "at"], False)
+    pairs = pairs.join(a.cyclic.withColumnRenamed("node", "at"), "at", "left_anti")
     return pairs.select(F.col("at").alias("node"), F.col("start").alias("descendant"), "d")
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from notewright.functions import patterns as P
 from notewright.operators import ancestry, packed
-from notewright.runtime import Scratch, is_empty
 
 # Labels and synonyms that are words of everyday language.
 DISEASE_STOP = (
@@ -43,16 +42,13 @@ def bar_aliases(table: DataFrame, order: str = "row_id") -> DataFrame:
 
 def below(spark: SparkSession, root: str, links: DataFrame) -> DataFrame:
     """(node): the root and all that reach it by links (child, parent); circles and several parents do no harm.
-    Semi-naive: each round joins only what the last one found."""
-    keep = Scratch(spark)
-    links = keep.save(links.select("child", "parent").distinct())
-    found = fresh = keep.save(spark.createDataFrame([(root,)], "node string"))
-    while True:
-        step = links.join(fresh.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
-        fresh = keep.save(step.join(found, "node", "left_anti"))
-        if is_empty(fresh):
-            return found
-        found = keep.save(found.unionByName(fresh))
+
+    Every node is walked to its next splitters; those from which the root is reached carry the answer down, so the
+    number of jobs grows with the logarithm of the depth."""
+    links = links.select("child", "parent").where(F.col("child") != root).distinct()  # the root is a root
+    nodes = links.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
+    a = ancestry.build(spark, links, nodes)
+    return a.finish(ancestry.reaching(a, root).union(spark.createDataFrame([(root,)], "node string")).distinct())
 
 
 def diseases(spark: SparkSession, nodes: DataFrame, edges: DataFrame, root: str | None, stop: tuple[str, ...] = DISEASE_STOP) -> DataFrame:

@@ -65,7 +65,7 @@ def lineage(pages: DataFrame, page_id: str) -> DataFrame:
     """(page_id, ancestor_ids) from the parent up for pages of any depth, by the splitter walks of ``ancestry``."""
     links = pages.where("parent_id is not null").select(F.col(page_id).alias("child"), F.col("parent_id").alias("parent"))
     a = ancestry.build(pages.sparkSession, links, pages.select(F.col(page_id).alias("node")).distinct(), with_paths=True)
-    return ancestry.roots_of(a).select(F.col("node").alias(page_id), F.slice("path", 2, 1 << 30).alias("ancestor_ids"))
+    return a.finish(ancestry.roots_of(a).select(F.col("node").alias(page_id), F.slice("path", 2, 1 << 30).alias("ancestor_ids")))
 
 
 def children(pages: DataFrame, page_id: str, order: str, name: str) -> DataFrame:

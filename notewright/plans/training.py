@@ -31,19 +31,22 @@ def _bare(c: str):
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ancestry.roots_of(_both(spark, sf_dir, False))
+    a = _both(spark, sf_dir, False)
+    rows = a.finish(ancestry.roots_of(a))
     return rows.select(F.split("node", r"\|", 2)[0].alias("hierarchy"), _bare("node").alias("node_key"), _bare("root").alias("root_key"), F.col("d").alias("node_depth"))
 
 
 def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As p5_found, with the exact path from the node to the root; null for circles and nodes without a root."""
-    rows = ancestry.roots_of(_both(spark, sf_dir, True))
+    a = _both(spark, sf_dir, True)
+    rows = a.finish(ancestry.roots_of(a))
     path = F.array_join(F.transform("path", lambda x: F.element_at(F.split(x, r"\|", 2), -1)), " > ")
     return rows.select(F.split("node", r"\|", 2)[0].alias("hierarchy"), _bare("node").alias("node_key"), _bare("root").alias("root_key"), F.col("d").alias("node_depth"), path.alias("node_path"))
 
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ancestry.descendants_of(_both(spark, sf_dir, False))
+    a = _both(spark, sf_dir, False)
+    rows = a.finish(ancestry.descendants_of(a))
     return rows.select(F.split("node", r"\|", 2)[0].alias("hierarchy"), _bare("node").alias("node_key"), _bare("descendant").alias("descendant_key"), F.col("d").alias("links_between"))
 
 

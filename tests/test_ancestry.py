@@ -1,9 +1,11 @@
+import os
 import random
 from collections import defaultdict, deque
 
 import pytest
 
 from notewright.operators import ancestry
+from notewright.runtime import Scratch
 
 
 def _brute(links, nodes):
@@ -69,3 +71,25 @@ def test_id_notations(spark):
     rows = [("http://x.example/obo/MONDO_0000007", " IS_A", "MONDO:0000008"), ("https://x.example/obo/mondo_0000007", "is_a", "MONDO_0000008"), ("MONDO:0000009", "part_of", "MONDO:0000007"), ("MONDO:0000009", None, "MONDO:0000007")]
     links, _ = ancestry.disease_links(spark.createDataFrame(rows, "sub string, pred string, obj string"))
     assert [tuple(r) for r in links.collect()] == [("MONDO:0000007", "MONDO:0000008")]
+
+
+def _jobs(spark, depth, folder):
+    """How many tables are written for one chain, and what is left of them."""
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Scratch, "__init__", lambda self, spark: _at(self, spark, folder))
+        df = spark.createDataFrame([(f"n{k:05d}", f"n{k + 1:05d}") for k in range(depth)], "child string, parent string")
+        a = ancestry.build(spark, df, df.selectExpr("explode(array(child, parent)) as node").distinct())
+        rows = a.finish(ancestry.roots_of(a))
+        assert rows.where("node = 'n00000'").first().d == depth
+        left = [os.path.join(f, d) for f, ds, _ in os.walk(folder) for d in ds if d.isdigit()]
+        return a.scratch._n, left
+
+
+def _at(scratch, spark, folder):
+    scratch.spark, scratch.root, scratch._live, scratch._n = spark, f"file://{folder}", set(), 0
+
+
+def test_jobs_grow_with_the_logarithm_of_the_depth_and_nothing_is_left(spark, tmp_path):
+    few, left = _jobs(spark, 120, str(tmp_path / "a"))
+    many, more_left = _jobs(spark, 480, str(tmp_path / "b"))
+    assert many - few <= 12 and len(left) == len(more_left) == 1
