@@ -1,14 +1,17 @@
 """Freely typed names mapped to the entries of a reference list.
 
 Values are deduplicated and normalised, candidates come from an inverted index of character n-grams, are scored by
-weighted cosine and accepted above a threshold and with a margin over the next entry; an exact check by edit
-distance follows. Every run of words of a value is a query of its own, so words around a name do not matter.
+weighted cosine and accepted above a threshold and with a margin over the next entry; of the candidates only those
+within a few edits of what was typed count. Every run of words of a value is a query of its own, so words around a
+name do not matter. Weights are counted over the whole list; lists too large to send to the tasks are met by their
+n-grams instead, with the same candidates, scores and answers.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -64,85 +67,124 @@ def grams(s: str) -> list[str]:
     return [s[i : i + 2] for i in range(len(s) - 1)] + [s[i : i + 3] for i in range(len(s) - 2)]
 
 
+BUCKETS = 1 << 18  # of the table of n-gram counts, whose size this bounds
+
+
+def bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def forms(name: str, canonical: str, generic: set[str]) -> Iterator[tuple[int, str, int]]:
+    """(rank, key, own letters) of an entry: its name, its canonical, and either without the words many names share.
+    Only the letters outside those words may bear typing errors."""
+    for rank, source in ((2, name), (1, canonical)):
+        ws = words(source)
+        core = "".join(w for w in ws if w not in generic)
+        if key := "".join(ws):
+            yield rank, key, len(core) or len(key)
+        if len(core) >= 5:
+            yield 0, core, len(core)
+
+
+class Weights:
+    """Inverse document frequencies of n-grams over all keys of one type; ``counts`` is by bucket."""
+
+    def __init__(self, keys: int, counts: dict[int, int]):
+        self.keys, self.counts = keys, counts
+        self.of: dict[str, float] = {}
+
+    def __getitem__(self, gram: str) -> float:
+        w = self.of.get(gram)
+        if w is None:
+            w = self.of[gram] = float(np.log(1 + self.keys / max(1, self.counts.get(bucket(gram), 1))))
+        return w
+
+    def vector(self, s: str) -> dict[str, float]:
+        """The n-grams of a string with weights, of length one."""
+        v = {g: k * self[g] for g, k in Counter(grams(s)).items()}
+        norm = float(np.sqrt(sum(w * w for w in v.values())))
+        return {g: w / norm for g, w in v.items()}
+
+
+def weigh(keys: list[str]) -> Weights:
+    return Weights(len(keys), Counter(b for k in keys for b in {bucket(g) for g in grams(k)}))
+
+
 class Index:
-    """Inverted n-gram index over the names of one type of one block of the list."""
-
-    def __init__(self, entries: list[tuple[str, str, int]], generic: set[str]):
-        # The name itself beats the entry's canonical, that beats the name without the words many names share; of
-        # equal ones the highest ord holds, then the greater canonical.
-        best: dict[str, tuple] = {}
-        own: dict[str, int] = {}
-        for name, canonical, order in entries:
-            for rank, source in ((2, name), (1, canonical)):
-                ws = words(source)
-                core = [w for w in ws if w not in generic]
-                for r, key in ((rank, "".join(ws)), (0, "".join(core) if len("".join(core)) >= 5 else "")):
-                    if key:
-                        best[key] = max(best.get(key, (-1,)), (r, order, canonical))
-                        own[key] = min(own.get(key, len(key)), len("".join(core)) or len(key))
-        self.names = sorted(best)
-        self.canonical = [best[n][2] for n in self.names]
-        self.own = [own[n] for n in self.names]  # letters without the generic words: only these may bear typing errors
-        self.exact = {n: i for i, n in enumerate(self.names)}
-        found = [Counter(grams(n)) for n in self.names]
-        df = Counter(g for c in found for g in c)
-        self.idf = {g: float(np.log(1 + len(self.names) / n)) for g, n in df.items()}
-        self.unseen = float(np.log(1 + len(self.names)))
+    """Inverted n-gram index over keys (key, canonical, own)."""
+
+    def __init__(self, keys: list[tuple[str, str, int]], weights: Weights):
+        self.names = [k for k, _, _ in keys]
+        self.canonical = [c for _, c, _ in keys]
+        self.own = [o for _, _, o in keys]
+        self.place = {n: i for i, n in enumerate(self.names)}
+        self.longest = max(map(len, self.names), default=0)
+        self.weights = weights
         posts: dict[str, list] = defaultdict(list)
-        for i, c in enumerate(found):
-            norm = np.sqrt(sum((k * self.idf[g]) ** 2 for g, k in c.items()))
-            for g, k in c.items():
-                posts[g].append((i, k * self.idf[g] / norm))
-        self.posts = {g: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for g, p in posts.items()}
-
-    def search(self, span: str, least: float, top: int) -> list[tuple[float, int]]:
-        c = Counter(grams(span))
-        weight = {g: k * self.idf.get(g, self.unseen) for g, k in c.items()}
-        norm = np.sqrt(sum(w * w for w in weight.values()))
-        hits = [(self.posts[g], w / norm) for g, w in weight.items() if g in self.posts]
-        if not hits:
-            return []
-        score = np.bincount(np.concatenate([p[0] for p, _ in hits]), np.concatenate([p[1] * w for p, w in hits]), len(self.names))
-        near = np.flatnonzero(score >= least)
-        near = near[np.argsort(-score[near], kind="stable")][:top]
-        return [(float(score[i]), int(i)) for i in near]
-
-
-def spans(ws: list[str], longest: int = 6) -> list[str]:
-    return list(dict.fromkeys("".join(ws[i:j]) for i in range(len(ws)) for j in range(i + 1, min(len(ws), i + longest) + 1)))
-
-
-def resolve(text: str, index: Index, generic: set[str], least: float, margin: float, top: int = 8) -> tuple[float, int, str] | None:
-    """The best entry as (edits a letter, -length, canonical), or None."""
-    ws = words(text)
-    candidates: list[tuple] = []
-    queries = spans(ws)
-    for s in queries:
-        if s in index.exact and s not in generic:
-            candidates.append((0.0, -len(s), -1.0, index.canonical[index.exact[s]]))
-    if candidates:
-        first = min(candidates)
-        return first[0], first[1], first[3]
-    folded = [w.translate(LOOKALIKE) if not w.isdigit() and not w.isalpha() else w for w in ws]
-    for s in dict.fromkeys([*spans(folded), *queries]):
-        if len(s) < 5 or s in generic:
-            continue
-        for cosine, i in index.search(s, least, top):
-            name = index.names[i]
-            if sum(ch.isdigit() for ch in name) >= 3:  # another number is another code
+        for i, n in enumerate(self.names):
+            for g, w in weights.vector(n).items():
+                posts[g].append((i, w))
+        self.posts = {g: (np.array([i for i, _ in p], dtype=np.int64), np.array([w for _, w in p])) for g, p in posts.items()}
+
+    def search(self, spans: list[str], least: float) -> Iterator[tuple[int, int, float]]:
+        """(span, key, cosine) of every pair above the threshold."""
+        n = len(self.names)
+        for a in range(0, len(spans), max(1, 2_000_000 // max(1, n))):
+            part = spans[a : a + max(1, 2_000_000 // max(1, n))]
+            hits = [(k * n + self.posts[g][0], self.posts[g][1] * w) for k, s in enumerate(part) for g, w in self.weights.vector(s).items() if g in self.posts]
+            if not hits:
                 continue
-            most = allowed(min(len(s), index.own[i]))
-            d = edit_distance(s, name, most)
-            if d <= most:
-                candidates.append((d / index.own[i], -len(s), -cosine, index.canonical[i]))
+            score = np.bincount(np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]))
+            for at in np.flatnonzero(score >= least).tolist():
+                yield a + at // n, at % n, float(score[at])
+
+
+def spans(text: str, generic: set[str], longest: int) -> list[str]:
+    """Every run of words of a text, also with digits read as the letters they look like, as long as a key of
+    ``longest`` letters may be typed; runs of shared words alone are none."""
+    ws = words(text)
+    most = longest / 0.72 + 1  # a span of more letters is further from every key than ``allowed``
+    out: dict[str, None] = {}
+    for row in (ws, [w.translate(LOOKALIKE) if not w.isdigit() and not w.isalpha() else w for w in ws]):
+        for i in range(len(row)):
+            s = ""
+            for w in row[i:]:
+                s += w
+                if len(s) > most:
+                    break
+                if s not in generic:
+                    out[s] = None
+    return list(out)
+
+
+def checked(span: str, name: str, own: int) -> bool:
+    """Whether what was typed is a key but for a few edits. Another number is another code."""
+    if span == name:
+        return True
+    if len(span) < 5 or sum(ch.isdigit() for ch in name) >= 3:
+        return False
+    most = allowed(min(len(span), own))
+    return edit_distance(span, name, most) <= most
+
+
+def decide(candidates: list[tuple[float, int, str]], margin: float) -> str | None:
+    """Of checked candidates (cosine, span's length, canonical) the best one's canonical: the highest cosine, then the
+    longest span; none if another entry, for a span as long or longer, comes within ``margin``."""
     if not candidates:
         return None
-    candidates.sort()
-    first = candidates[0]
-    for other in candidates[1:]:
-        if other[3] != first[3] and other[0] == first[0] and -first[2] + other[2] < margin:
-            return None
-    return first[0], first[1], first[3]
+    best = max(candidates)
+    rival = any(c[2] != best[2] and c[1] >= best[1] and best[0] - c[0] < margin for c in candidates)
+    return None if rival else best[2]
+
+
+def resolve(text: str, index: Index, generic: set[str], least: float, margin: float) -> str | None:
+    """The canonical of the entry that a text names, or None."""
+    queries = spans(text, generic, index.longest)
+    # A span too short to bear an edit is only ever its own key, whose cosine is 1.
+    found = [(1.0, len(s), index.canonical[index.place[s]]) for s in queries if allowed(len(s)) == 0 and s in index.place]
+    long = [s for s in queries if allowed(len(s)) > 0]
+    found += [(round(c, 6), len(long[k]), index.canonical[i]) for k, i, c in index.search(long, least) if checked(long[k], index.names[i], index.own[i])]
+    return decide(found, margin)
 
 
 def _generic_words(listed: DataFrame, share: float = 0.01, floor: int = 6) -> dict[str, set[str]]:
@@ -162,6 +204,41 @@ def _generic_words(listed: DataFrame, share: float = 0.01, floor: int = 6) -> di
     return dict(out)
 
 
+def _keys(listed: DataFrame, generic: dict[str, set[str]]) -> DataFrame:
+    """(type, key, canonical, own): the keys of the list. The name itself beats the entry's canonical, that beats the name
+    without the words many names share; of equal ones the highest ord holds, then the greater canonical."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(t, key, r, o, c, own) for t, n, c, o in zip(*(batch.column(k).to_pylist() for k in range(4))) for r, key, own in forms(n, c, generic.get(t, set()))]
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["type", "key", "rank", "ord", "canonical", "own"])
+
+    each = listed.select("type", "name", "canonical", F.coalesce("ord", F.lit(-1)).alias("ord")).mapInArrow(split, "type string, key string, rank int, ord long, canonical string, own int")
+    return each.groupBy("type", "key").agg(F.max(F.struct("rank", "ord", "canonical")).alias("m"), F.min("own").alias("own")).select("type", "key", "m.canonical", "own")
+
+
+def _weights(keys: DataFrame) -> dict[str, Weights]:
+    """By type the weights of n-grams. What is collected is one number a bucket and type, whatever the list."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple, int] = Counter()
+        for batch in batches:
+            for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts.update((t, b) for b in {-1, *map(bucket, grams(k))})
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts], pa.string()), pa.array([b for _, b in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["type", "bucket", "n"])
+
+    out: dict[str, Weights] = {}
+    for r in keys.select("type", "key").mapInArrow(count, "type string, bucket int, n long").groupBy("type", "bucket").agg(F.sum("n").alias("n")).collect():
+        w = out.setdefault(r.type, Weights(0, {}))
+        if r.bucket < 0:
+            w.keys = r.n
+        else:
+            w.counts[r.bucket] = r.n
+    return out
+
+
 def map_names(
     mentions: DataFrame,
     entries: DataFrame,
@@ -169,59 +246,94 @@ def map_names(
     type_col: str,
     text_col: str,
     *,
-    least: float = 0.25,
+    least: float = 0.2,
     margin: float = 0.02,
-    block: int = 50_000,
+    most_keys: int = 100_000,
 ) -> DataFrame:
     """(id_col, canonical) for each row of ``mentions``: the entry its text names, else ``UNMATCHED``.
 
     ``entries`` has (type, name, canonical, ord); rows with a null or blank name or a null canonical are no entries.
-    Texts must not be null or blank. A value is resolved once in each task however often it comes there, so no row
-    is shuffled and one text in a third of all rows does no harm. The list is sent to the tasks in blocks of at most
-    ``block`` names, which bounds each broadcast; with several blocks the best of their answers holds. An empty list
-    leaves all rows unmatched; other columns are not read.
+    Texts must not be null or blank. Each distinct value is resolved once and its answer joined to its rows; a text in
+    a third of all rows is one value. A list of up to ``most_keys`` keys, counted first, is sent to the tasks as an
+    index; a longer one stays a table, and values meet it by their rarest n-grams. Both ways look at every key whose
+    cosine with a span is ``least`` or more. An empty list leaves all rows unmatched; other columns are not read.
     """
-    spark = mentions.sparkSession
     listed = entries.where("name is not null and trim(name) <> '' and canonical is not null").select("type", "name", "canonical", F.col("ord").cast("long").alias("ord")).distinct()
-    n = listed.count()
     source = mentions.select(F.col(id_col).alias("id"), F.col(type_col).alias("type"), F.col(text_col).alias("text"))
-    blocks = max(1, -(-n // block))
     generic = _generic_words(listed)
-    answers: DataFrame | None = None
-    for b in range(blocks):
-        # A type's names stay together as far as they fit; the hash only spreads lists beyond one block.
-        part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b)
-        rows = [tuple(r) for r in part.collect()]  # at most about ``block`` rows
-        shared = spark.sparkContext.broadcast(sorted(rows))
-        got = source.mapInArrow(_resolver(shared, generic, least, margin), f"id {source.schema['id'].dataType.simpleString()}, edits double, rest int, canonical string")
-        answers = got if answers is None else answers.unionByName(got)
-    assert answers is not None
-    if blocks > 1:
-        answers = answers.groupBy("id").agg(F.min(F.struct(F.coalesce("edits", F.lit(9.0)).alias("e"), F.coalesce("rest", F.lit(0)).alias("r"), "canonical")).alias("m")).select("id", F.col("m.canonical").alias("canonical"))
-    return answers.select(F.col("id").alias(id_col), F.coalesce("canonical", F.lit(UNMATCHED)).alias("canonical"))
-
-
-def _resolver(shared, generic: dict[str, set[str]], least: float, margin: float):
+    keys = _keys(listed, generic)
+    weights = _weights(keys)
+    values = source.select("type", "text").distinct()
+    way = _by_index if sum(w.keys for w in weights.values()) <= most_keys else _by_grams
+    answers = way(values, keys, weights, generic, least, margin)
+    return source.join(answers, ["type", "text"], "left").select(F.col("id").alias(id_col), F.coalesce("canonical", F.lit(UNMATCHED)).alias("canonical"))
+
+
+def _by_index(values: DataFrame, keys: DataFrame, weights: dict[str, Weights], generic: dict[str, set[str]], least: float, margin: float) -> DataFrame:
+    """(type, text, canonical) of the values that name an entry; the list goes to the tasks."""
+    shared = values.sparkSession.sparkContext.broadcast((sorted(map(tuple, keys.select("type", "key", "canonical", "own").collect())), weights, generic))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_type: dict[str, list] = defaultdict(list)
-        for kind, name, canonical, order in shared.value:
-            by_type[kind].append((name, canonical, order if order is not None else -1))
+        rows, weights, generic = shared.value
         index: dict[str, Index] = {}
-        seen: dict[tuple, tuple | None] = {}
         for batch in batches:
             out = []
-            for kind, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                key = (kind, text)
-                if key not in seen:
-                    if len(seen) > 200_000:  # bounds memory; a later one is resolved again
-                        seen.clear()
-                    if kind in by_type and kind not in index:
-                        index[kind] = Index(by_type[kind], generic.get(kind, set()))
-                    seen[key] = resolve(text, index[kind], generic.get(kind, set()), least, margin) if kind in index and text else None
-                out.append(seen[key])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([o and o[0] for o in out], pa.float64()), pa.array([o and o[1] for o in out], pa.int32()), pa.array([o and o[2] for o in out], pa.string())],
-                names=["id", "edits", "rest", "canonical"],
-            )
-
-    return run
+            for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if kind not in weights:
+                    out.append(None)
+                    continue
+                if kind not in index:
+                    index[kind] = Index([r[1:] for r in rows if r[0] == kind], weights[kind])
+                out.append(resolve(text, index[kind], generic.get(kind, set()), least, margin))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=["type", "text", "canonical"])
+
+    return values.mapInArrow(run, "type string, text string, canonical string")
+
+
+def _by_grams(values: DataFrame, keys: DataFrame, weights: dict[str, Weights], generic: dict[str, set[str]], least: float, margin: float) -> DataFrame:
+    """The same for a list of any size. A span and a key with a cosine of ``least`` share one of the span's rarest
+    n-grams: those beside which the others are shorter than ``least``. So spans are joined to keys by these, and only
+    their weights' table, of bounded size, goes to the tasks."""
+    shared = values.sparkSession.sparkContext.broadcast((weights, generic))
+    longest = {r.type: r.n for r in keys.groupBy("type").agg(F.max(F.length("key")).alias("n")).collect()}  # one row a type
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, generic = shared.value
+        for batch in batches:
+            rows = []
+            for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for s in spans(text, generic.get(kind, set()), longest[kind]) if kind in weights else ():
+                    left = 1.0
+                    for g, w in sorted(weights[kind].vector(s).items(), key=lambda x: (-weights[kind][x[0]], x[0])):
+                        rows.append((kind, text, s, g))
+                        left -= w * w
+                        if left < (least - 1e-6) ** 2:
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*rows)) or [()] * 4], names=["type", "text", "span", "gram"])
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [sorted(set(grams(k))) for k in batch.column(1).to_pylist()]
+            at = pa.array([i for i, gs in enumerate(lists) for _ in gs], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns], pa.array([g for gs in lists for g in gs], pa.string())], names=["type", "key", "canonical", "own", "gram"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, _ = shared.value
+        for batch in batches:
+            out = []
+            for kind, s, k, own in zip(*(batch.column(c).to_pylist() for c in ("type", "span", "key", "own"))):
+                a, b = weights[kind].vector(s), weights[kind].vector(k)
+                c = sum(w * b[g] for g, w in a.items() if g in b)
+                good = checked(s, k, own) and (c >= least or s == k)
+                out.append(round(c, 6) if good else None)
+            yield pa.RecordBatch.from_arrays([batch.column("type"), batch.column("text"), batch.column("canonical"), pa.array([len(s) for s in batch.column("span").to_pylist()], pa.int32()), pa.array(out, pa.float64())], names=["type", "text", "canonical", "len", "cosine"])
+
+    asked = values.mapInArrow(probes, "type string, text string, span string, gram string")
+    held = keys.select("type", "key", "canonical", "own").mapInArrow(postings, "type string, key string, canonical string, own int, gram string")
+    pairs = asked.join(held, ["type", "gram"]).drop("gram").distinct()
+    scored = pairs.mapInArrow(score, "type string, text string, canonical string, len int, cosine double").where("cosine is not null")
+    # ``decide`` in two sums: the best candidate of a value, and whether another entry comes near it.
+    each = scored.groupBy("type", "text", "canonical").agg(F.collect_set(F.struct("cosine", "len")).alias("of"))
+    best = scored.groupBy("type", "text").agg(F.max(F.struct("cosine", "len", "canonical")).alias("best"))
+    rival = F.exists("of", lambda c: (c["len"] >= F.col("best.len")) & (F.col("best.cosine") - c["cosine"] < margin)) & (F.col("canonical") != F.col("best.canonical"))
+    return each.join(best, ["type", "text"]).groupBy("type", "text").agg(F.max(rival.cast("int")).alias("r"), F.max("best.canonical").alias("canonical")).where("r = 0").select("type", "text", "canonical")

@@ -47,9 +47,24 @@ def test_cases(spark):
     assert [got[k] for k in range(len(CASES))] == [c for _, _, c in CASES]
 
 
-def test_blocks_of_the_list_agree_with_one(spark):
-    rows = [(t, x) for t, x, _ in CASES if "zebrel" not in x]
-    assert _map(spark, rows, ENTRIES, block=8) == _map(spark, rows, ENTRIES)
+def test_a_list_that_stays_a_table_gives_the_same(spark):
+    names = [f"brakelmo{c}or{d}" for c in "tksx" for d in ("", "a", "pex")] + ["brakelmotor", "brakelmotos"]
+    entries = ENTRIES + [("companies", n, f"C {n}", k) for k, n in enumerate(names)]
+    rows = [(t, x) for t, x, _ in CASES] + [("companies", x) for x in ("brakelmotox", "brakelmotor", "the brakelmosorpex group", "brakelmozor", "zebrel bio and glexwista", "glexwista or gngg")] + [("roles", "glexwista")]
+    assert _map(spark, rows, entries, most_keys=0) == _map(spark, rows, entries)
+
+
+def test_two_entries_as_near_as_each_other_are_no_answer(spark):
+    entries = [("companies", "brakelmotor", "A", 1), ("companies", "brakelmotos", "B", 2)]
+    for most in (0, 100):
+        assert _map(spark, [("companies", "brakelmotox"), ("companies", "brakelmotor")], entries, most_keys=most) == {0: "UNMATCHED", 1: "A"}
+
+
+def test_names_of_many_words_and_many_near_names(spark):
+    long = "the international zorvex kelmori plantaris quendol vastrin foundation of upper marisk"
+    entries = [("companies", long, "Long", 1)] + [("companies", f"plimdraxo{a}{b}", f"P {a}{b}", 2) for a in "abcdef" for b in "ghijkl"]
+    got = _map(spark, [("companies", long), ("companies", "ask " + long.replace("plantaris", "plantarsi") + " about it"), ("companies", "plimdraxock")], entries)
+    assert got == {0: "Long", 1: "Long", 2: "P ck"}
 
 
 def test_repeats_long_texts_and_empty_tables(spark):
@@ -60,17 +75,22 @@ def test_repeats_long_texts_and_empty_tables(spark):
 
 
 def test_index_finds_what_brute_force_finds():
-    """Recall of the n-gram index against all names, on misspelt names."""
+    """Recall of the index, at the threshold in use, against the edit check on all names, for as many edits as it allows."""
+    import inspect
     import random
 
     rng = random.Random(7)
-    names = ["".join(rng.choice(["bra", "kel", "mo", "tri", "vax", "quo", "sin", "der", "plu", "zan"]) for _ in range(4)) for _ in range(400)]
-    index = canonical.Index([(n, n, k) for k, n in enumerate(names)], set())
+    least = inspect.signature(canonical.map_names).parameters["least"].default
+    names = sorted({"".join(rng.choice(["bra", "kel", "mo", "tri", "vax", "quo", "sin", "der", "plu", "zan"]) for _ in range(4)) for _ in range(400)})
+    index = canonical.Index([(n, n, len(n)) for n in names], canonical.weigh(names))
     hit = total = 0
     for n in names[:150]:
-        k = rng.randrange(1, len(n) - 1)
-        typo = n[:k] + n[k + 1 :]
-        near = {m for m in names if canonical.edit_distance(typo, m, 1) <= 1}
-        found = {index.names[i] for _, i in index.search(typo, 0.25, 50)}
+        typo = list(n)
+        for _ in range(rng.randrange(1, canonical.allowed(len(n)) + 1)):
+            k = rng.randrange(len(typo))
+            typo[k : k + 1] = rng.choice([[], [rng.choice("aeiou")], [typo[k], rng.choice("xyz")]])
+        typo = "".join(typo)
+        near = {m for m in names if canonical.checked(typo, m, len(m))}
+        found = {index.names[i] for _, i, _ in index.search([typo], least)}
         hit, total = hit + len(near & found), total + len(near)
     assert hit / total >= 0.98
