@@ -263,7 +263,9 @@ def map_names(
     generic = _generic_words(listed)
     keys = _keys(listed, generic)
     weights = _weights(keys)
-    values = source.select("type", "text").distinct()
+    # Resolving is dear and values are small, so they are spread over the tasks by number, not by bytes.
+    context = mentions.sparkSession.sparkContext
+    values = source.select("type", "text").distinct().repartition(max(2 * context.defaultParallelism, int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     way = _by_index if sum(w.keys for w in weights.values()) <= most_keys else _by_grams
     answers = way(values, keys, weights, generic, least, margin)
     return source.join(answers, ["type", "text"], "left").select(F.col("id").alias(id_col), F.coalesce("canonical", F.lit(UNMATCHED)).alias("canonical"))
