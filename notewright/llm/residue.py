@@ -1,8 +1,10 @@
 """Records that hold a template, filler, an error page or a script notice in place of a note.
 
-A naive Bayes model of passages is learned from trusted records (placeholders, filler and error pages that fixed
-patterns tell for certain) as positive and a sample of all others as unlabelled, by expectation-maximisation. Every
-passage of every record is then scored; a record is out if its scored passages are residue but for a small rest.
+A naive Bayes model of passages is learned by expectation-maximisation from trusted records as positive and a sample of
+all others as unlabelled. Trusted records come from the data: those that say nothing of their own, whose every passage
+is an unfilled slot, is said over and over in the record, or is wording that comes in many records and hardly ever
+beside anything of their own. No list of phrases takes part. Every passage of every record is then scored; a record is
+out if its scored passages are residue but for a small rest.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Forms in which templates write their slots, and what programs print into an empty one.
+# Forms in which templates write their slots, what programs print into an empty one, and how they print
+# where they failed.
 SLOTS = (
     r"\{\{[^{}\n]{0,40}\}\}",
     r"\{%[^%\n]{0,40}%\}",
@@ -40,51 +43,24 @@ SLOTS = (
     r"(?<!\w)_{3,}(?!\w)",
     r"(?<!\w)X{3,}(?!\w)",
     r"(?<!\w)x{4,}(?!\w)",
+    r"Traceback \(most recent call last\):?",
+    r"File \"[^\"\n]{0,200}\", line \d+, in \S+",
 )
+# What programs print where a value is missing.
 EMPTY = ("undefined", "null", "NaN", "TBD", "N/A", "None")
-# Wording that only filler, error pages and script notices open with.
-CERTAIN = (
-    r"(?:\b(?:ad|adipiscing|aliqua|aliquip|amet|commodo|consectetur|dolore?|duis|ea|eiusmod|elit|enim|esse|et|eu|ex|exercitation|fugiat|incididunt|ipsum|irure|labore|laboris|lorem|magna|minim|nisi|nostrud|nulla|pariatur|quis|sed|sit|tempor|ullamco|ut|velit|veniam)\b\W*){4}",
-    r"(?:enable|activate|turn on|allow|requires?|needs?)\s+(?:\w+\s+){0,2}java\s?scripts?\b",
-    r"java\s?script (?:is|ist|est|está) (?:disabled|turned off|required|ausgeschaltet|deaktiviert|désactivé|desactivado)",
-    r"(?:bitte )?aktivieren sie javascript|(?:veuillez )?activer javascript|active javascript",
-    r"\b(?:404|403|500|502|503|504)\b[\s:–-]*(?:not found|forbidden|internal server error|bad gateway|service unavailable|gateway time-?out|error)",
-    r"(?:error|erreur|fehler)\s*(?:404|403|500|502|503|504)\s*:",
-    r"internal server error|interner serverfehler|erreur interne du serveur|error interno del servidor",
-    r"traceback \(most recent call last\)|unhandled exception in",
-    r"(?:session|sitzung|sesión) (?:\w+ ){0,2}(?:expired|abgelaufen|expiré|caducado|expirada?)",
-    r"service (?:is )?(?:temporarily|currently) unavailable|derzeit nicht (?:erreichbar|verfügbar)|momentanément indisponible|temporalmente no disponible|no disponible por el momento",
-    r"access (?:is )?denied|zugriff verweigert|accès refusé|acceso denegado",
-    r"page not found|seite nicht gefunden|page introuvable|página no encontrada",
+# Fixed value: the filler text of typesetters, as every template holds it; one trusted record beside those found.
+FILLER = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. "
+    "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. "
+    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. "
+    "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
 )
 
-# What error pages, script notices, filler and forms say in four languages. They are trusted records
-# beside those found, so that a small collection has something to learn from.
-SEEDS = (
-    "This site requires JavaScript to work.", "Please enable JavaScript in your browser to continue.", "Your browser does not support scripts.", "You need to enable JavaScript to run this application.",
-    "This page needs scripts and cookies to be displayed.", "Your browser is out of date, please update it.", "Checking your browser before accessing the site.", "Enable cookies and reload the page.",
-    "Page not found.", "The page you requested does not exist or has been moved.", "Internal server error.", "Bad gateway.", "Gateway timeout.", "Service temporarily unavailable, please try again later.",
-    "Access denied.", "You do not have permission to view this page.", "Your session has expired, please sign in again.", "Something went wrong, please try again.", "Too many requests, please slow down.",
-    "Could not connect to the server: connection refused.", "Unhandled exception at line 10.", "Traceback (most recent call last): file line in error", "Contact the administrator or the help desk.", "Sign in", "Back to home page", "Reload the page",
-    "Insert text here.", "Insert description here.", "Your text here.", "Click to add text", "Sample text, please replace.", "Placeholder text.", "This is dummy text.", "text text text text", "test test test", "blah blah blah", "asdf asdf",
-    "Diese Seite benötigt JavaScript.", "Bitte aktivieren Sie JavaScript in Ihrem Browser.", "JavaScript ist in Ihrem Browser deaktiviert.", "Ohne Skripte kann diese Anwendung nicht angezeigt werden.", "Seite nicht gefunden.",
-    "Diese Seite existiert nicht mehr.", "Interner Serverfehler.", "Zugriff verweigert.", "Ihre Sitzung ist abgelaufen, bitte melden Sie sich erneut an.", "Der Dienst ist derzeit nicht verfügbar.",
-    "Hier steht Ihr Text.", "Text hier einfügen.", "Beschreibung hier einfügen.", "Mustertext, bitte ersetzen.", "Dies ist ein Blindtext.", "Text folgt.",
-    "Cette page nécessite JavaScript.", "Veuillez activer JavaScript dans votre navigateur.", "JavaScript est désactivé dans votre navigateur.", "Page introuvable.", "Cette page n'existe plus.", "Erreur interne du serveur.", "Accès refusé.",
-    "Votre session a expiré, veuillez vous reconnecter.", "Service momentanément indisponible.", "Votre texte ici.", "Insérez la description ici.", "Texte de remplissage.", "Exemple de texte à remplacer.", "Texte à venir.",
-    "Esta página necesita JavaScript.", "Active JavaScript en su navegador.", "JavaScript está desactivado en su navegador.", "Esta aplicación necesita scripts.", "Página no encontrada.", "Esta página ya no existe.", "Error interno del servidor.",
-    "Acceso denegado.", "Su sesión ha caducado, inicie sesión de nuevo.", "Servicio no disponible por el momento.", "Su texto aquí.", "Inserte la descripción aquí.", "Texto de relleno.", "Texto de ejemplo para sustituir.", "Texto pendiente.",
-    "Dear {{name}},", "Date: {{date}}", "Owner: [[owner]]", "Meeting: <%= title %>", "Attendees: ________", "Next steps: TBD", "Status: undefined", "Kind regards, {{owner}}", "Thank you for joining {{title}} on {{date}}.",
-    "Hallo {{name}},", "Sitzung: {{title}}", "Teilnehmende: ________", "Viele Grüße, {{name}}", "Bonjour {{name}},", "Réunion : {{title}}", "Participants : ________", "Hola {{name}}:", "Reunión: {{title}}", "Asistentes: ________", "Saludos, {{name}}",
-)
-
 _SLOT = re.compile("|".join(SLOTS))
-_SLOT_HINT = re.compile(r"[{<\[$@%]|___|__[^_\s]|XXX|xxxx")
+# Every slot holds one of these.
+_SLOT_HINT = re.compile(r"[{<\[$@%]|___|__[^_\s]|XXX|xxxx|Traceback|File \"")
 _EMPTY_HINT = re.compile(r"null|NaN|TBD|N/A|None|undefined|\.\.\.")
 _EMPTY = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, EMPTY)) + r")(?!\w)|(?<=[\w:] )\.\.\.|^\.\.\.")
-_CERTAIN = re.compile("|".join(CERTAIN), re.I)
-# Every certain wording holds one of these.
-_CERTAIN_HINTS = ("script", "error", "erreur", "fehler", "404", "403", "500", "502", "503", "504", "traceback", "exception", "session", "sitzung", "sesión", "service", "nicht ", "indisponible", "disponible", "denied", "verweigert", "refusé", "denegado", "not found", "introuvable", "encontrada", "ipsum", "amet", "dolor")
 _TAG = re.compile(r"</?([a-zA-Z]+)[^<>\n]{0,200}>")
 _LABEL = re.compile(r"(?<=[^\s])\s+(?=[^\W\d_][\w ]{1,24}:\s)")
 # Newlines, or white space behind a sentence's end; begins with one class, so that the search is fast.
@@ -134,10 +110,6 @@ def is_heading(passage: str, position: int) -> bool:
     return position == 0 and len(passage.split()) <= 6 and not re.search(r"[.!?:…,;]$|\x02", passage) and not _EMPTY.search(passage)
 
 
-# What the seeds say, word for word.
-_TOLD = frozenset(p.lower() for s in SEEDS for p in split_passages(s))
-
-
 class _Odds(dict):
     """Log odds by word; an unknown word has the rare ones'."""
 
@@ -201,43 +173,38 @@ def fit(trusted: list[list[list[str]]], unlabelled: list[list[list[str]]], *, ro
     return Model(_Odds((w, float(odds[i])) for w, i in vocabulary.items()), lead, most)
 
 
-def only_certain(passage: str, share: float) -> bool:
-    """Whether certain wording is so much of a passage that nothing in it speaks about that wording."""
-    m = _CERTAIN.search(passage)
-    return m is not None and m.end() - m.start() >= share * len(passage)
-
-
-def certain_share(text: str) -> float:
-    """Of a record's passages, headings aside, the share that the fixed patterns tell for residue."""
-    low = text.lower()
-    if not any(h in low for h in _CERTAIN_HINTS) and not _SLOT_HINT.search(text):
-        return 0.0
-    ps = [p for k, p in enumerate(split_passages(text)) if not is_heading(p, k)]
-    return sum(map(_is_certain, ps)) / len(ps) if ps else 0.0
-
-
-def _is_certain(p: str) -> bool:
-    return only_certain(p, 0.38) or (SLOT in p and len(_WORD.findall(p.replace(SLOT, ""))) <= 8 * p.count(SLOT))
-
-
-def is_trusted(text: str, passages: list[str], least: float = 0.6) -> bool:
-    """Whether ``certain_share`` is ``least`` or more; ends once too many passages say nothing certain."""
-    low = text.lower()
-    if not any(h in low for h in _CERTAIN_HINTS) and not _SLOT_HINT.search(text):
-        return False
-    ps = [p for k, p in enumerate(passages) if not is_heading(p, k)]
-    left = len(ps)
-    # But for filler, whose hints may stand in other passages, only a passage with a hint can hold certain wording.
-    filler = any(h in low for h in ("ipsum", "amet", "dolor"))
-    for p in ps:
-        if not ((filler or SLOT in p or any(h in p.lower() for h in _CERTAIN_HINTS)) and _is_certain(p)):
-            left -= 1
-            if left / len(ps) < least:
-                return False
-    return left > 0
-
-
-def learn(documents: DataFrame, doc_id: str, text: str, *, sample: int = 8_000, longest: int = 20_000, common: float = 0.004) -> Model:
+def _given(passages: list[str]) -> list[tuple[str, bool]]:
+    """(key, whether the passage shows by itself that no one wrote it) of a record's passages, headings aside: one made
+    of slots, or one that the record says three times or more."""
+    keys = [(passage_key(p), p) for k, p in enumerate(passages) if not is_heading(p, k)]
+    times = Counter(k for k, _ in keys)
+    out = []
+    for key, p in keys:
+        ws = passage_words(p, 1)
+        slots = ws.count(SLOT)
+        out.append((key, slots > 0 and len(ws) <= 9 * slots or times[key] >= 3))
+    return out
+
+
+def trust(texts: list[str], least: int = 5, apart: float = 0.5) -> tuple[set[int], set[str], set[str]]:
+    """(places of the trusted texts, closed wordings, all other wordings that are not only titles). Wording is closed if it comes in ``least`` records or more and in
+    fewer than ``apart`` of them beside something of their own, which is a passage that comes in fewer records and does
+    not show by itself that no one wrote it. A record is trusted if all it says is closed or shows that; one closed
+    wording alone does not do, it may be a short note. Records that say the same count once, whatever their titles."""
+    said: dict[frozenset, tuple[list[tuple[str, bool]], list[int]]] = {}
+    for i, t in enumerate(texts):
+        passages = _given(split_passages(t))
+        said.setdefault(frozenset(k for k, _ in passages), (passages, []))[1].append(i)
+    records, beside = Counter(k for body in said for k in body), Counter()
+    for body, (passages, _) in said.items():
+        if any(not shows and records[k] < least for k, shows in passages):
+            beside.update(body)
+    closed = {k for k, n in records.items() if n >= least and beside[k] < apart * n}
+    sure = [at for body, (passages, at) in said.items() if passages and all(shows or k in closed for k, shows in passages) and (len(body) > 1 or passages[0][1])]
+    return {i for at in sure for i in at}, closed, set(records) - closed
+
+
+def learn(documents: DataFrame, doc_id: str, text: str, *, sample: int = 16_000, longest: int = 20_000, common: float = 0.004) -> Model:
     """Fit on a sample of about ``sample`` records, those whose id has the least hashes; among them the trusted are the
     labelled ones. Of the sample, records beyond ``longest`` code points are left out. What is common is counted over
     all records; no other step samples."""
@@ -257,12 +224,11 @@ def wordings(passages: list[str]) -> tuple[frozenset[str], set[str]]:
 
 
 def _said(texts: list[str]) -> dict[frozenset[str], set[str]]:
-    """All wordings of the records that say the same, the trusted records aside."""
+    """All wordings of the records that say the same."""
     said: dict[frozenset[str], set[str]] = {}
     for t in texts:
-        if not is_trusted(t, ps := split_passages(t)):
-            body, every = wordings(ps)
-            said.setdefault(body, set()).update(every)
+        body, every = wordings(split_passages(t))
+        said.setdefault(body, set()).update(every)
     return said
 
 
@@ -278,7 +244,7 @@ def _hash(key: str) -> int:
 
 
 def common_wordings(texts: DataFrame, share: float, known: list[str]) -> set[str]:
-    """Passage keys in more than ``share`` of all records but the trusted ones; records that say the same count once.
+    """Passage keys in more than ``share`` of all records; records that say the same count once.
     ``texts`` has one column. Pairs of hashes are shuffled; the wording comes from the ``known`` texts, and by another
     reading of all texts if one is in none of them. What is collected ends at the share."""
 
@@ -313,47 +279,33 @@ def common_wordings(texts: DataFrame, share: float, known: list[str]) -> set[str
 
 
 def learn_from(texts: list[str], sayings: set[str] | None = None, common: float = 0.004) -> Model:
-    """Fit on the records that the fixed patterns tell for certain, and the others. ``sayings``, by default the passages
-    in more than ``common`` of the others, are neutral if they hold no slot and no certain wording and the seeds do not
-    speak for residue. Records that say the same count once, whatever their titles."""
-    sure, others = [], []
-    for t in texts:
-        (sure if is_trusted(t, split_passages(t)) else others).append(t)
+    """Fit on the trusted records and the others. ``sayings``, by default the passages in more than ``common`` of the
+    records, are neutral if they hold no slot and are not closed: they tell nothing, as footers and labels of forms do.
+    Records that say the same count once, whatever their titles."""
     if sayings is None:
-        said = _said(others)
+        said = _said(texts)
         seen = Counter(k for every in said.values() for k in every)
         sayings = {k for k, n in seen.items() if is_common(n, len(said), common)}
-    sayings = {k for k in sayings if SLOT not in k and not _CERTAIN.search(k)}
-
+    trusted, _, open_ones = trust(texts)
     # One wording counts once however often its record is repeated.
-    sure, others = list(dict.fromkeys(sure)), list(dict.fromkeys(others))
-    seeds = [[passage_words(p, 1)] for s in SEEDS for p in split_passages(s)]
-    neutral = _unlike_seeds(sayings, seeds, others)
+    sure = list(dict.fromkeys(t for i, t in enumerate(texts) if i in trusted))
+    others = list(dict.fromkeys(t for i, t in enumerate(texts) if i not in trusted))
+    neutral = frozenset(k for k in sayings & open_ones if SLOT not in k)
 
     def of(texts: list[str]) -> list[list[list[str]]]:
         return [r for t in texts if (r := [w for k, p in enumerate(split_passages(t)) if not is_heading(p, k) and passage_key(p) not in neutral and (w := passage_words(p, k))])]
 
-    model = fit(seeds + of(sure), of(others))
+    model = fit(of([*sure, *[FILLER] * 3]), of(others))
     model.neutral = neutral
     return model
 
 
-def _unlike_seeds(sayings: set[str], seeds: list[list[list[str]]], others: list[str]) -> frozenset[str]:
-    """Of the sayings those that are no seed and that the seeds, against the others, do not score as residue."""
-    open_ones = sorted(sayings - set(map(passage_key, _TOLD)))
-    if not open_ones:
-        return frozenset()
-    plain = fit(seeds, [[w] for t in others for k, p in enumerate(split_passages(t)) if (w := passage_words(p, k))], rounds=1)
-    return frozenset(k for k in open_ones if plain.score(passage_words(k, 1)) <= 0)
-
-
 def judge(text: str, model: Model, most_content: float | None = None) -> tuple[int, int, float]:
     """(words of residue, words of content, log odds of the record), headings and neutral passages aside. Where
-    nothing else stands, the neutral passages, and then the headings, are what the record offers. With ``most_content`` the rest of a text is not
-    scored once it can no longer bring the share of content down to that, even if each character were a word."""
+    nothing else stands, the neutral passages, and then the headings, are what the record offers. With ``most_content``
+    the rest of a text is not scored once it can no longer bring the share of content down to that, even if each
+    character were a word: the decision is the same, the numbers are those up to there."""
     scored, headings, skipped = [], [], []
-    low = text.lower()
-    hinted = any(h in low for h in _CERTAIN_HINTS)
     passages = split_passages(text)
     left = sum(map(len, passages))
     said = spoken = 0
@@ -367,8 +319,6 @@ def judge(text: str, model: Model, most_content: float | None = None) -> tuple[i
         ws = passage_words(p, k)
         if ws:
             s = model.score(ws)
-            if s < model.most and (p.lower() in _TOLD or hinted and len(ws) <= 12 and only_certain(p, 0.6)):
-                s = model.most
             if is_heading(p, k):
                 headings.append((len(ws), s))
             else:

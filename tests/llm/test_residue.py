@@ -71,10 +71,55 @@ REPEATED = ["Something went wrong, please try again.", "Insert text here.", "Tex
 @pytest.mark.parametrize("wording", REPEATED)
 def test_repeated_residue_is_never_neutral(wording):
     notes = [t for _, t, w in _make(4, 1000) if not w]
-    for copies in ([wording] * 60, [f"{_w(random.Random(k)).title()} review\n\n{wording}" for k in range(60)], [f"{wording}\nReload the page\nPlates for {_w(random.Random(k))} arrived." for k in range(60)]):
+    for copies in ([wording] * 60, [f"{_w(random.Random(k)).title()} review\n\n{wording}" for k in range(60)], [f"{wording}\n{PAGE[k % 8]}\n{PAGE[k // 8 % 8]}" for k in range(60)]):
         model = residue.learn_from(notes + copies)
         assert residue.passage_key(wording) not in model.neutral
-        assert residue.is_residue(residue.judge(wording, model), 0.45)
+
+
+def _pool(rng, n, words):
+    return [" ".join(rng.choice(words) for _ in range(rng.randrange(3, 7))).capitalize() + "." for _ in range(n)]
+
+
+def test_wording_of_no_list_is_learned_from_the_collection():
+    """Error pages and filler in invented words, none of which any pattern knows: they are told by coming again in records
+    that say nothing else. Recall and precision on records that were not fitted on."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    pages, fill = _pool(rng, 14, words[:40]), _pool(rng, 5, words[40:])
+
+    def make(n):
+        out = []
+        for k in range(n):
+            kind = rng.randrange(20)
+            if kind == 0:
+                t = "\n".join(rng.choice(pages) for _ in range(rng.randrange(2, 6)))
+            elif kind == 1:
+                t = " ".join([rng.choice(fill)] * rng.randrange(3, 8))
+            else:
+                ps = [rng.choice(NOTES).format(w=_w(rng) + _w(rng), n=rng.randrange(99)) for _ in range(rng.randrange(1, 9))]
+                if rng.random() < 0.05:  # a note that quotes such text
+                    ps.insert(0, f"The viewer showed {rng.choice(pages)}")
+                t = "\n".join(ps)
+            out.append(((f"{_w(rng).title()} review\n\n" if rng.random() < 0.5 else "") + t, kind < 2))
+        return out
+
+    model = residue.learn_from([t for t, _ in make(6000)])
+    rows = make(3000)
+    got = [residue.is_residue(residue.judge(t, model), 0.45) for t, _ in rows]
+    hit, want = sum(g and w for g, (_, w) in zip(got, rows)), sum(w for _, w in rows)
+    assert hit / want >= 0.95 and hit / sum(got) >= 0.95, (hit, want, sum(got))
+
+
+def test_trusted_records_say_nothing_of_their_own():
+    rng = random.Random(4)
+    notes = ["\n".join(rng.choice(NOTES).format(w=_w(rng) + _w(rng), n=rng.randrange(99)) for _ in range(3)) for _ in range(300)] + ["Call moved to Friday."] * 40
+    pages = ["\n".join(random.Random(k).sample(PAGE, 3)) for k in range(60)]
+    slots = ["Dear {{name}},\nDate: <<date>>", "Hier text. Hier text. Hier text."]
+    trusted, closed, _ = residue.trust(notes + pages + slots)
+    assert not any(i < len(notes) for i in trusted)
+    assert {len(notes) + len(pages), len(notes) + len(pages) + 1} <= trusted and sum(i >= len(notes) for i in trusted) > 50
+    assert residue.passage_key(PAGE[0]) in closed
+    assert residue.trust([]) == (set(), set(), set()) and residue.trust(["", "note"])[0] == set()
 
 
 def test_a_footer_in_many_different_notes_stays_neutral():
