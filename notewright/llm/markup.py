@@ -45,6 +45,12 @@ _PARTS = re.compile(
     """.replace("MATHENV", _MATH_ENV),
     re.X | re.I | re.M | re.S,
 )
+# Where a part can begin; every part begins with one of these, so no other place is tried.
+_BEGIN = re.compile(r"^[ \t>]*(?=[`~]{3}|\{\|)|\A\s*---|^---|[<\\{$`]", re.M)
+# A part that begins so and needs an end is none where its end never follows. Without this each unclosed one would be
+# read to the end of the text.
+_NEEDS = re.compile(r"(?P<math><math\b)|(?P<square>\\\[)|(?P<round>\\\()|\\begin\{(?P<env>MATHENV)\}".replace("MATHENV", _MATH_ENV), re.I)
+_ENDS = {"math": "</math", "square": "\\]", "round": "\\)"}
 _FORMULA_LIKE = re.compile(r"[\\^_=<>+*/]|^\w{1,3}$|^[A-Za-z]\(")
 
 _ROW = re.compile(r"^[ \t]*\|.*\|[ \t]*$|^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$")
@@ -67,32 +73,33 @@ _CUT_TAG = re.compile(r"<(?:/?[A-Za-z][A-Za-z0-9]*(?:\s+[\w-]+=[^<>]*)?)?\Z")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _BLOCK_TAG = re.compile(r"</?(?:p|div|br|ul|ol|li|h[1-6]|table|tr|blockquote|hr|section|article|body|html|head)\b[^>]*>", re.I)
 _REF = re.compile(r"<ref\b[^>/]*/>|<ref\b[^>]*>.*?</ref\s*>", re.I | re.S)
-# Spans in the order in which they are taken off, with what stays of them.
-_SPANS: list[tuple[re.Pattern, str]] = [
-    (re.compile(r"^\[\[(?:Category|Kategorie|Catégorie|Categoría):[^\]\n]*\]\][ \t]*\n?", re.I | re.M), ""),
-    (re.compile(r"\[\[(?:File|Image|Datei|Fichier|Archivo):[^\]\n]*\]\]", re.I), ""),
-    (re.compile(r"\[\[[^\[\]\n|]*\|([^\[\]\n]*)\]\]"), r"\1"),
-    (re.compile(r"\[\[([^\[\]\n]+)\]\]"), r"\1"),
-    (re.compile(r"!\[([^\]\n]*)\]\([^()\n]*\)"), r"\1"),
-    (re.compile(r"\[([^\[\]\n]+)\]\((?:[^()\s]*)(?:[ \t]+\"[^\"\n]*\")?\)"), r"\1"),
-    (re.compile(r"\[(?:https?|ftp)://[^\s\]]+[ \t]+([^\]\n]+)\]"), r"\1"),
-    (re.compile(r"\[(?:https?|ftp)://[^\s\]]+\]"), ""),
-    (re.compile(r"\[\^[\w-]+\](?::[^\n]*)?"), ""),
-    (re.compile(r"\{\{[^{}\n|]+\|([^{}\n|]*)(?:\|[^{}\n]*)?\}\}"), r"\1"),
-    (re.compile(r"\{\{[^{}\n]*\}\}"), ""),
-    (re.compile(r"'{5}(?=\S)(.+?)'{5}|'{3}(?=\S)(.+?)'{3}|'{2}(?=[^\s'])(.+?)'{2}"), r"\1\2\3"),
-    (re.compile(r"(?<![*\w\\])\*{3}(?=[^\s*])([^*\n]+?)(?<=[^\s*\\])\*{3}(?![\w*])"), r"\1"),
-    (re.compile(r"(?<![*\w\\])\*{2}(?=[^\s*])([^*\n]+?)(?<=[^\s*\\])\*{2}(?![\w*])"), r"\1"),
-    (re.compile(r"(?<![*\w\\])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*\\])\*(?![\w*])"), r"\1"),
-    (re.compile(r"(?<![_\w\\])_{1,3}(?=[^\s_])([^_\n]+?)(?<=[^\s_\\])_{1,3}(?![\w])"), r"\1"),
-    (re.compile(r"~~(?=\S)([^~\n]+?)(?<=\S)~~"), r"\1"),
-    (re.compile(r"(?<![=\w])==(?=[^\s=])([^=\n]+?)(?<=[^\s=])==(?![=])"), r"\1"),
-    (re.compile(r"\\href\{[^{}\n]*\}\{([^{}\n]*)\}"), r"\1"),
-    (re.compile(r"[ \t~]*\\(?:cite[pt]?|ref|eqref|label|footnote|footnotemark|url|pageref|autoref|vspace|hspace)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}"), ""),
-    (re.compile(r"\\(?:documentclass|usepackage|title|author|date|begin|end|bibliography(?:style)?|includegraphics|input)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}(?:\{[^{}\n]*\})?"), ""),
-    (re.compile(r"\\(?:emph|text(?:bf|it|tt|sc|rm|sf|up|sl)?|underline|mbox|caption|textsuperscript|textsubscript)\{([^{}\n]*)\}"), r"\1"),
-    (re.compile(r"\\([%&#])|(?<=\w)\\(_)(?=\w)"), r"\1\2"),
-    (re.compile(r"\\(?:maketitle|tableofcontents|noindent|newpage|clearpage|bigskip|medskip|smallskip|centering|par|hline)(?![A-Za-z])[ \t]*"), ""),
+_EMPTY_REF = re.compile(r"<ref\b[^>/]*/>", re.I)
+# Spans in the order in which they are taken off: what each holds for certain, its pattern, and what stays of it.
+_SPANS: list[tuple[str, re.Pattern, str]] = [
+    ("[[", re.compile(r"^\[\[(?:Category|Kategorie|Catégorie|Categoría):[^\]\n]*\]\][ \t]*\n?", re.I | re.M), ""),
+    ("[[", re.compile(r"\[\[(?:File|Image|Datei|Fichier|Archivo):[^\]\n]*\]\]", re.I), ""),
+    ("[[", re.compile(r"\[\[[^\[\]\n|]*\|([^\[\]\n]*)\]\]"), r"\1"),
+    ("[[", re.compile(r"\[\[([^\[\]\n]+)\]\]"), r"\1"),
+    ("![", re.compile(r"!\[([^\]\n]*)\]\([^()\n]*\)"), r"\1"),
+    ("](", re.compile(r"\[([^\[\]\n]+)\]\((?:[^()\s]*)(?:[ \t]+\"[^\"\n]*\")?\)"), r"\1"),
+    ("://", re.compile(r"\[(?:https?|ftp)://[^\s\]]+[ \t]+([^\]\n]+)\]"), r"\1"),
+    ("://", re.compile(r"\[(?:https?|ftp)://[^\s\]]+\]"), ""),
+    ("[^", re.compile(r"\[\^[\w-]+\](?::[^\n]*)?"), ""),
+    ("{{", re.compile(r"\{\{[^{}\n|]+\|([^{}\n|]*)(?:\|[^{}\n]*)?\}\}"), r"\1"),
+    ("{{", re.compile(r"\{\{[^{}\n]*\}\}"), ""),
+    ("''", re.compile(r"'{5}(?=\S)(.+?)'{5}|'{3}(?=\S)(.+?)'{3}|'{2}(?=[^\s'])(.+?)'{2}"), r"\1\2\3"),
+    ("***", re.compile(r"(?<![*\w\\])\*{3}(?=[^\s*])([^*\n]+?)(?<=[^\s*\\])\*{3}(?![\w*])"), r"\1"),
+    ("**", re.compile(r"(?<![*\w\\])\*{2}(?=[^\s*])([^*\n]+?)(?<=[^\s*\\])\*{2}(?![\w*])"), r"\1"),
+    ("*", re.compile(r"(?<![*\w\\])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*\\])\*(?![\w*])"), r"\1"),
+    ("_", re.compile(r"(?<![_\w\\])_{1,3}(?=[^\s_])([^_\n]+?)(?<=[^\s_\\])_{1,3}(?![\w])"), r"\1"),
+    ("~~", re.compile(r"~~(?=\S)([^~\n]+?)(?<=\S)~~"), r"\1"),
+    ("==", re.compile(r"(?<![=\w])==(?=[^\s=])([^=\n]+?)(?<=[^\s=])==(?![=])"), r"\1"),
+    ("\\href", re.compile(r"\\href\{[^{}\n]*\}\{([^{}\n]*)\}"), r"\1"),
+    ("\\", re.compile(r"[ \t~]*\\(?:cite[pt]?|ref|eqref|label|footnote|footnotemark|url|pageref|autoref|vspace|hspace)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}"), ""),
+    ("\\", re.compile(r"\\(?:documentclass|usepackage|title|author|date|begin|end|bibliography(?:style)?|includegraphics|input)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}(?:\{[^{}\n]*\})?"), ""),
+    ("\\", re.compile(r"\\(?:emph|text(?:bf|it|tt|sc|rm|sf|up|sl)?|underline|mbox|caption|textsuperscript|textsubscript)\{([^{}\n]*)\}"), r"\1"),
+    ("\\", re.compile(r"\\([%&#])|(?<=\w)\\(_)(?=\w)"), r"\1\2"),
+    ("\\", re.compile(r"\\(?:maketitle|tableofcontents|noindent|newpage|clearpage|bigskip|medskip|smallskip|centering|par|hline)(?![A-Za-z])[ \t]*"), ""),
 ]
 _HINT = re.compile(r"[<&\\`$*_~=#\[{|>+'-]|^\s*(?:\d{1,3}[.)]|•)\s", re.M)
 
@@ -108,8 +115,32 @@ class _Reader:
         self.kept.append(s)
         return f"\ue000{len(self.kept) - 1}\ue001"
 
+    def parts(self, text: str) -> str:
+        out: list[str] = []
+        at = done = 0
+        ends: dict[str, int] = {}
+        low = ""
+        while m := _BEGIN.search(text, at):
+            at = m.start()
+            if need := _NEEDS.match(text, at):
+                low = low or text.lower()
+                end = f"\\end{{{need['env'].lower()}}}" if need["env"] else _ENDS[need.lastgroup]
+                if end not in ends:
+                    ends[end] = low.rfind(end)
+                if ends[end] < at:
+                    at += 1
+                    continue
+            part = _PARTS.match(text, at)
+            if part is None or part.end() == at:
+                at += 1
+                continue
+            out += [text[done:at], self.part(part)]
+            at = done = part.end()
+        out.append(text[done:])
+        return "".join(out)
+
     def part(self, m: re.Match) -> str:
-        kind, g = m.lastgroup, m.groupdict()
+        g = m.groupdict()
         whole = m.group()
         name = next(k for k in ("front", "fence", "pre", "high", "listing", "comment", "nowiki", "mathtag", "mathscript", "script", "table", "wikitable", "infobox", "tabular", "display", "round", "code_tag", "tick", "inline") if g[k] is not None)
         if name == "inline":
@@ -201,9 +232,13 @@ class _Reader:
         text = self.text
         if not _HINT.search(text):
             return text
-        text = _PARTS.sub(self.part, text.replace("\r\n", "\n"))
+        text = self.parts(text.replace("\r\n", "\n"))
         if "<" in text:
-            text = _REF.sub(self._drop, text)
+            low = text.lower()
+            if "<ref" in low:
+                # Behind the last end of a note there can only be notes without text.
+                last = text.find(">", max(low.rfind("</ref"), 0)) + 1 if "</ref" in low else 0
+                text = _REF.sub(self._drop, text[:last]) + _EMPTY_REF.sub(self._drop, text[last:])
             text = _HTML_HEAD.sub(lambda m: "\n" + self.heading(int(m[1]), re.sub(r"\s+", " ", m[2])) + "\n", text)
             text = _LI.sub(lambda m: "\n" + self.item(0), text)
         if "\\" in text:
@@ -214,9 +249,10 @@ class _Reader:
             text = _BLOCK_TAG.sub(self._break, text)
             text = _TAG.sub(self._drop, text)
             text = _CUT_TAG.sub(self._drop, text) if self.marked else text
-        for pattern, stays in _SPANS:
-            text, n = pattern.subn(stays, text)
-            self.marked |= n > 0
+        for held, pattern, stays in _SPANS:
+            if held in text:
+                text, n = pattern.subn(stays, text)
+                self.marked |= n > 0
         if "&" in text and _ENTITY.search(text):
             self.marked = True
             for _ in range(2):
@@ -267,7 +303,8 @@ def _apply(records: DataFrame, id_col: str, text_col: str, batch_of, schema: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of(batch.column(0), batch.column(1).to_pylist())
+            texts = batch.column(1).to_pylist()
+            yield batch_of(batch.column(0), texts, {t: clean(t) for t in dict.fromkeys(texts)})  # a repeated text is read once a batch
 
     return records.where(F.col(text_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, {schema}")
 
@@ -277,10 +314,10 @@ def elements(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     item, code block and formula, counted from 1 in each record and kind. Null texts, blank ones and those without
     markup give no rows; repeated records give theirs each."""
 
-    def of(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+    def of(ids: pa.Array, texts: list[str], read: dict) -> pa.RecordBatch:
         at, kinds, numbers = [], [], []
         for k, t in enumerate(texts):
-            _, marked, counts = clean(t)
+            _, marked, counts = read[t]
             if marked:
                 at.append(k)
                 kinds.append(RESIDUE)
@@ -297,8 +334,8 @@ def elements(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def cleaned(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, clean_text, had_markup) of every record with a text; texts without markup come out unchanged."""
 
-    def of(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        done = [clean(t) for t in texts]
+    def of(ids: pa.Array, texts: list[str], read: dict) -> pa.RecordBatch:
+        done = [read[t] for t in texts]
         return pa.RecordBatch.from_arrays([ids, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.bool_())], names=[id_col, "clean_text", "had_markup"])
 
     return _apply(records, id_col, text_col, of, "clean_text string, had_markup boolean")
