@@ -173,38 +173,40 @@ def fit(trusted: list[list[list[str]]], unlabelled: list[list[list[str]]], *, ro
     return Model(_Odds((w, float(odds[i])) for w, i in vocabulary.items()), lead, most)
 
 
-def _given(passages: list[str]) -> list[tuple[str, bool]]:
-    """(key, whether the passage shows by itself that no one wrote it) of a record's passages, headings aside: one made
-    of slots, or one that the record says three times or more."""
-    keys = [(passage_key(p), p) for k, p in enumerate(passages) if not is_heading(p, k)]
+def _given(passages: list[str]) -> list[tuple[str, bool, int]]:
+    """(key, whether the passage shows by itself that no one wrote it, words) of a record's passages, headings aside: one
+    made of slots, or one that the record says three times or more."""
+    keys = [(passage_key(p), passage_words(p, 1)) for k, p in enumerate(passages) if not is_heading(p, k)]
     times = Counter(k for k, _ in keys)
-    out = []
-    for key, p in keys:
-        ws = passage_words(p, 1)
-        slots = ws.count(SLOT)
-        out.append((key, slots > 0 and len(ws) <= 9 * slots or times[key] >= 3))
-    return out
-
-
-def trust(texts: list[str], least: int = 5, apart: float = 0.5) -> tuple[set[int], set[str], set[str]]:
-    """(places of the trusted texts, closed wordings, all other wordings that are not only titles). Wording is closed if it comes in ``least`` records or more and in
-    fewer than ``apart`` of them beside something of their own, which is a passage that comes in fewer records and does
-    not show by itself that no one wrote it. A record is trusted if all it says is closed or shows that; one closed
-    wording alone does not do, it may be a short note. Records that say the same count once, whatever their titles."""
-    said: dict[frozenset, tuple[list[tuple[str, bool]], list[int]]] = {}
-    for i, t in enumerate(texts):
-        passages = _given(split_passages(t))
-        said.setdefault(frozenset(k for k, _ in passages), (passages, []))[1].append(i)
+    return [(key, (slots := ws.count(SLOT)) > 0 and len(ws) <= 9 * slots or times[key] >= 3, len(ws)) for key, ws in keys]
+
+
+def trust(parts: list[list[str]], least: int = 5, apart: float = 0.5, rest: float = 0.25) -> tuple[set[int], set[str], set[str]]:
+    """(places of the trusted records, closed wordings, all other wordings that are not only titles) of records given by
+    their passages.
+
+    A passage is a record's own if it comes in fewer than ``least`` records and does not show by itself that no one wrote
+    it. Wording is closed if it comes in ``least`` records or more, and in fewer than ``apart`` of them more than
+    ``rest`` of the words are the record's own. A record is trusted if all but ``rest`` of its words are closed or show
+    that; one closed wording alone does not do, it may be a short note. Records that say the same count once, whatever their titles."""
+    said: dict[frozenset, tuple[list[tuple[str, bool, int]], list[int]]] = {}
+    for i, part in enumerate(parts):
+        passages = _given(part)
+        said.setdefault(frozenset(k for k, _, _ in passages), (passages, []))[1].append(i)
     records, beside = Counter(k for body in said for k in body), Counter()
     for body, (passages, _) in said.items():
-        if any(not shows and records[k] < least for k, shows in passages):
+        if sum(n for k, shows, n in passages if not shows and records[k] < least) > rest * sum(n for _, _, n in passages):
             beside.update(body)
     closed = {k for k, n in records.items() if n >= least and beside[k] < apart * n}
-    sure = [at for body, (passages, at) in said.items() if passages and all(shows or k in closed for k, shows in passages) and (len(body) > 1 or passages[0][1])]
-    return {i for at in sure for i in at}, closed, set(records) - closed
+    sure: set[int] = set()
+    for passages, at in said.values():
+        known = [(k, shows, n) for k, shows, n in passages if shows or k in closed]
+        if known and sum(n for _, _, n in known) >= (1 - rest) * sum(n for _, _, n in passages) and (len({k for k, _, _ in known}) > 1 or known[0][1]):
+            sure.update(at)
+    return sure, closed, set(records) - closed
 
 
-def learn(documents: DataFrame, doc_id: str, text: str, *, sample: int = 16_000, longest: int = 20_000, common: float = 0.004) -> Model:
+def learn(documents: DataFrame, doc_id: str, text: str, *, sample: int = 12_000, longest: int = 20_000, common: float = 0.004) -> Model:
     """Fit on a sample of about ``sample`` records, those whose id has the least hashes; among them the trusted are the
     labelled ones. Of the sample, records beyond ``longest`` code points are left out. What is common is counted over
     all records; no other step samples."""
@@ -286,16 +288,15 @@ def learn_from(texts: list[str], sayings: set[str] | None = None, common: float
         said = _said(texts)
         seen = Counter(k for every in said.values() for k in every)
         sayings = {k for k, n in seen.items() if is_common(n, len(said), common)}
-    trusted, _, open_ones = trust(texts)
-    # One wording counts once however often its record is repeated.
-    sure = list(dict.fromkeys(t for i, t in enumerate(texts) if i in trusted))
-    others = list(dict.fromkeys(t for i, t in enumerate(texts) if i not in trusted))
+    texts = list(dict.fromkeys(texts))  # one wording counts once however often its record is repeated
+    parts = [split_passages(t) for t in texts]
+    trusted, _, open_ones = trust(parts)
     neutral = frozenset(k for k in sayings & open_ones if SLOT not in k)
 
-    def of(texts: list[str]) -> list[list[list[str]]]:
-        return [r for t in texts if (r := [w for k, p in enumerate(split_passages(t)) if not is_heading(p, k) and passage_key(p) not in neutral and (w := passage_words(p, k))])]
+    def of(parts: list[list[str]]) -> list[list[list[str]]]:
+        return [r for ps in parts if (r := [w for k, p in enumerate(ps) if not is_heading(p, k) and passage_key(p) not in neutral and (w := passage_words(p, k))])]
 
-    model = fit(of([*sure, *[FILLER] * 3]), of(others))
+    model = fit(of([p for i, p in enumerate(parts) if i in trusted] + [split_passages(FILLER)] * 3), of([p for i, p in enumerate(parts) if i not in trusted]))
     model.neutral = neutral
     return model
 

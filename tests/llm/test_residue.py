@@ -115,11 +115,11 @@ def test_trusted_records_say_nothing_of_their_own():
     notes = ["\n".join(rng.choice(NOTES).format(w=_w(rng) + _w(rng), n=rng.randrange(99)) for _ in range(3)) for _ in range(300)] + ["Call moved to Friday."] * 40
     pages = ["\n".join(random.Random(k).sample(PAGE, 3)) for k in range(60)]
     slots = ["Dear {{name}},\nDate: <<date>>", "Hier text. Hier text. Hier text."]
-    trusted, closed, _ = residue.trust(notes + pages + slots)
+    trusted, closed, _ = residue.trust([residue.split_passages(t) for t in notes + pages + slots])
     assert not any(i < len(notes) for i in trusted)
     assert {len(notes) + len(pages), len(notes) + len(pages) + 1} <= trusted and sum(i >= len(notes) for i in trusted) > 50
     assert residue.passage_key(PAGE[0]) in closed
-    assert residue.trust([]) == (set(), set(), set()) and residue.trust(["", "note"])[0] == set()
+    assert residue.trust([]) == (set(), set(), set()) and residue.trust([[], ["note"]])[0] == set()
 
 
 def test_a_footer_in_many_different_notes_stays_neutral():
