@@ -19,10 +19,6 @@ from notewright.functions import patterns as P
 from notewright.functions import text as T
 
 MIN_WORDS, PROMPT = 50, 3000
-_STRINGS = Y.ArrayType(Y.StringType())
-_RESULT = Y.StructType(
-    [Y.StructField(n, t) for n, t in (("title", Y.StringType()), ("content_type", Y.StringType()), ("authors", _STRINGS), ("date", Y.StringType()), ("key_points", _STRINGS), ("body", Y.StringType()), ("extra", Y.MapType(Y.StringType(), Y.StringType())))]
-)
 
 
 def json_value(text: str | None) -> str | None:
@@ -65,39 +61,47 @@ def tags_and_entities(answer: Column) -> Column:
     return F.when(parsed["tags"].isNotNull() | parsed["entities"].isNotNull(), F.struct(tags.alias("tags"), parsed["entities"].alias("entities")))
 
 
-def structured(text: str | None, default: str = "") -> dict:
-    """An answer in labelled sections; the last of repeated sections holds."""
-    out = {"title": "", "content_type": default, "authors": [], "date": "", "key_points": [], "body": "", "extra": {}}
-    part, body = None, []
-    for line in (text or "").strip().split("\n"):
-        s = line.strip()
-        label, _, value = s.partition(":")
-        value = value.strip()
-        if label in ("TITLE", "CONTENT_TYPE", "AUTHORS", "DATE", "METHODS") and ":" in s:
-            part = None
-            if label == "TITLE":
-                out["title"] = value
-            elif label == "CONTENT_TYPE":
-                out["content_type"] = value or default
-            elif label == "AUTHORS" and value.lower() != "unknown":
-                out["authors"] = [a.strip() for a in value.split(",") if a.strip()]
-            elif label == "DATE" and value.lower() != "unknown":
-                out["date"] = value
-            elif label == "METHODS" and value:
-                out["extra"]["methods"] = value
-        elif s in ("KEY_POINTS:", "BODY:"):
-            part = s
-        elif part == "KEY_POINTS:" and s.startswith("- "):
-            out["key_points"].append(s[2:])
-        elif part == "BODY:":
-            body.append(line)
-    out["body"] = "\n".join(body).strip()
-    return out
+# The labels of an answer's sections; the last two hold the lines below them.
+LABELS = ("TITLE", "CONTENT_TYPE", "AUTHORS", "DATE", "METHODS")
+BLOCKS = ("KEY_POINTS", "BODY")
+
+
+def structured(answer: Column, default: str = "") -> Column:
+    """struct(title, content_type, authors, date, key_points, body, extra) of an answer in labelled sections; the last of
+    repeated labels holds, repeated blocks follow each other. A null answer is an empty one."""
+    lines = F.split(P.strip(F.coalesce(answer, F.lit(""))), "\n")
+    label = "^(" + "|".join([f"{x}(?=:)" for x in LABELS] + [f"{x}(?=:$)" for x in BLOCKS]) + ")"
+    # Where sections begin, and what follows each up to the next.
+    marks = F.transform(lines, lambda x, i: F.struct(F.regexp_extract(P.strip(x), label, 1).alias("label"), i.alias("at"), P.strip(x).alias("line")))
+    heads = F.filter(marks, lambda m: m["label"] != "")
+    ends = F.concat(F.slice(F.transform(heads, lambda h: h["at"]), 2, 1 << 30), F.array(F.size(lines)))
+    heads = F.transform(F.arrays_zip(heads.alias("h"), ends.alias("end")), lambda z: F.struct(z["h"]["label"].alias("label"), z["h"]["line"].alias("line"), F.slice(lines, z["h"]["at"] + 2, F.greatest(z["end"] - z["h"]["at"] - 1, F.lit(0))).alias("below")))
+    heads = F.filter(heads, lambda h: h["label"].isNotNull())
+
+    def values(name: str) -> Column:
+        return F.transform(F.filter(heads, lambda h: h["label"] == name), lambda h: P.strip(F.substr(h["line"], F.lit(len(name) + 2))))
+
+    def last(found: Column, otherwise: str = "") -> Column:
+        return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(otherwise))
+
+    def told(name: str) -> Column:
+        return F.filter(values(name), lambda v: F.lower(v) != "unknown")
 
+    def below(name: str) -> Column:
+        return F.flatten(F.transform(F.filter(heads, lambda h: h["label"] == name), lambda h: h["below"]))
 
-@F.pandas_udf(_RESULT)
-def structured_udf(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([structured(x) for x in s], columns=["title", "content_type", "authors", "date", "key_points", "body", "extra"])
+    kind = last(values("CONTENT_TYPE"))
+    methods = last(F.filter(values("METHODS"), lambda v: v != ""))
+    points = F.filter(F.transform(below("KEY_POINTS"), P.strip), lambda x: F.startswith(x, F.lit("- ")))
+    return F.struct(
+        last(values("TITLE")).alias("title"),
+        F.when(kind == "", default).otherwise(kind).alias("content_type"),
+        F.filter(F.transform(F.split(last(told("AUTHORS")), ","), P.strip), lambda x: x != "").alias("authors"),
+        last(told("DATE")).alias("date"),
+        F.transform(points, lambda x: F.substr(x, F.lit(3))).alias("key_points"),
+        P.strip(F.array_join(below("BODY"), "\n")).alias("body"),
+        F.when(methods != "", F.create_map(F.lit("methods"), methods)).otherwise(F.create_map().cast("map<string,string>")).alias("extra"),
+    )
 
 
 def stub(prompts: list[str]) -> list[str]:
@@ -120,14 +124,15 @@ def ask(rows: DataFrame, prompt: str, model: Callable[[list[str]], list[str]] =
     return rows.mapInPandas(run, fields + ", answer string")
 
 
-def tagged(pages: DataFrame, cache: DataFrame, vocabulary: DataFrame | None = None, model: Callable[[list[str]], list[str]] = stub) -> DataFrame:
+def tagged(pages: DataFrame, cache: DataFrame, vocabulary: DataFrame | None = None, model: Callable[[list[str]], list[str]] = stub, longest: int | None = PROMPT) -> DataFrame:
     """(page_key, hash, tags) of pages (page_key, title, body) with ``MIN_WORDS`` words or more.
 
     What the cache (page_key, hash, tags) holds for the same text is taken from it; the gate and the cache come before
-    the model. ``vocabulary`` (tag, canonical) renames tags."""
+    the model. ``vocabulary`` (tag, canonical) renames tags. A prompt holds a body's first ``longest`` characters (None:
+    all of it)."""
     gated = pages.where(P.word_count(F.col("body")) >= MIN_WORDS).withColumn("hash", T.hash16(F.col("body")))
     known = gated.join(cache.select("page_key", "hash", "tags"), ["page_key", "hash"]).select("page_key", "hash", "tags")
-    open_ = gated.join(cache.select("page_key", "hash"), ["page_key", "hash"], "left_anti").select("page_key", "hash", F.concat(F.lit("Title: "), F.coalesce("title", F.lit("")), F.lit("\n"), F.substring("body", 1, PROMPT)).alias("prompt"))
+    open_ = gated.join(cache.select("page_key", "hash"), ["page_key", "hash"], "left_anti").select("page_key", "hash", F.concat(F.lit("Title: "), F.coalesce("title", F.lit("")), F.lit("\n"), F.substring("body", 1, longest) if longest else F.col("body")).alias("prompt"))
     fresh = ask(open_, "prompt", model).select("page_key", "hash", F.coalesce(tags_and_entities(F.col("answer"))["tags"], F.array().cast("array<string>")).alias("tags"))
     if vocabulary is not None:
         one = fresh.select("page_key", "hash", F.posexplode_outer("tags").alias("k", "tag")).join(vocabulary, "tag", "left")

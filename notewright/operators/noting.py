@@ -84,7 +84,7 @@ def conflict_path(path: Column, day: Column) -> Column:
 
 def analysis_note(result: Column, worker: Column, filenames: Column, context: Column, model: str, analyzed: Column) -> Column:
     """A note about a group of attachments: what was found as front matter, then the cleaned body. ``result`` is a struct
-    as ``annotate.structured_udf`` gives it."""
+    as ``annotate.structured`` gives it."""
 
     def field(name: str, v: Column) -> Column:
         return F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{name}: "), T.yaml_value(v)))

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def profile(table: DataFrame, order: str, widest: int = 30, example: int = 50) -> DataFrame:
+def profile(table: DataFrame, order: str, widest: int | None = 30, example: int = 50) -> DataFrame:
     """(column_no, column_name, data_type, non_null, row_count, first_value): one pass, all columns in one aggregation.
-    The first value is that of the least ``order``, cut to ``example`` characters. An empty table gives zero counts."""
+    The first value is that of the least ``order``, cut to ``example`` characters; of a wide table
+    the first ``widest`` columns are told (None: all). An empty table gives zero counts."""
     columns = [f for f in table.schema.fields if f.name != order][:widest]
     aggs = [F.count("*").alias("rows")]
     for k, f in enumerate(columns):

@@ -674,7 +674,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def structured_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", annotate.structured_udf("text").alias("r")).select("doc_id", "r.title", F.array_join("r.authors", "|").alias("authors"), "r.date", F.size("r.key_points").alias("points"), "r.body")
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", annotate.structured(F.col("text")).alias("r")).select("doc_id", "r.title", F.array_join("r.authors", "|").alias("authors"), "r.date", F.size("r.key_points").alias("points"), "r.body")
 
 
 @query()

@@ -315,8 +315,12 @@ def test_profiles(spark):
 def test_json_and_answers(spark):
     for text, want in (('pre {"a": "}"} post', '{"a": "}"}'), ("```json\n[1, [2]]\n``` x", "[1, [2]]"), ('{"a": [1', '{"a": [1'), ("none", "none"), (None, None), ('{"a": "\\"}"} {', '{"a": "\\"}"}')):
         assert annotate.json_value(text) == want
-    r = annotate.structured("TITLE: T\nAUTHORS: a, b\nDATE: unknown\nKEY_POINTS:\n- one\n- two\nBODY:\nx\n y\nTITLE: T2", "d")
-    assert (r["title"], r["authors"], r["date"], r["key_points"], r["body"], r["content_type"]) == ("T2", ["a", "b"], "", ["one", "two"], "x\n y", "d")
+    answers = ["TITLE: T\nAUTHORS: a, b\nDATE: unknown\nKEY_POINTS:\n- one\n- two\nBODY:\nx\n y\nTITLE: T2", None, "", "BODY: no block\nBODY:\n\n KEY_POINTS: none\nkept\nMETHODS: m\nlost\nBODY:\nmore\n  ", "CONTENT_TYPE:\nAUTHORS: Unknown\nAUTHORS: c ,, d\nMETHODS:\nKEY_POINTS:\n  - p\nq\nDATE: 1"]
+    got = [(r["title"], r["authors"], r["date"], r["key_points"], r["body"], r["content_type"], r["extra"]) for r in _col(spark, answers, lambda c: annotate.structured(c, "d"))]
+    assert got[0] == ("T2", ["a", "b"], "", ["one", "two"], "x\n y", "d", {})
+    assert got[1] == got[2] == ("", [], "", [], "", "d", {})
+    assert got[3] == ("", [], "", [], "KEY_POINTS: none\nkept\nmore", "d", {"methods": "m"})
+    assert got[4] == ("", ["c", "d"], "1", ["p"], "", "d", {})
     df = spark.createDataFrame([('Sure: {"tags": ["A b", "a-b", "!"], "entities": {"genes": ["X"]}}',), ("nothing",)], "a string")
     got = [x[0] for x in df.select(annotate.tags_and_entities(F.col("a"))).collect()]
     assert got[0].tags == ["a-b"] and got[0].entities == {"genes": ["X"]} and got[1] is None
