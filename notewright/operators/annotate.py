@@ -69,39 +69,50 @@ BLOCKS = ("KEY_POINTS", "BODY")
 def structured(answer: Column, default: str = "") -> Column:
     """struct(title, content_type, authors, date, key_points, body, extra) of an answer in labelled sections; the last of
     repeated labels holds, repeated blocks follow each other. A null answer is an empty one."""
-    lines = F.split(P.strip(F.coalesce(answer, F.lit(""))), "\n")
     label = "^(" + "|".join([f"{x}(?=:)" for x in LABELS] + [f"{x}(?=:$)" for x in BLOCKS]) + ")"
-    # Where sections begin, and what follows each up to the next.
-    marks = F.transform(lines, lambda x, i: F.struct(F.regexp_extract(P.strip(x), label, 1).alias("label"), i.alias("at"), P.strip(x).alias("line")))
-    heads = F.filter(marks, lambda m: m["label"] != "")
-    ends = F.concat(F.slice(F.transform(heads, lambda h: h["at"]), 2, 1 << 30), F.array(F.size(lines)))
-    heads = F.transform(F.arrays_zip(heads.alias("h"), ends.alias("end")), lambda z: F.struct(z["h"]["label"].alias("label"), z["h"]["line"].alias("line"), F.slice(lines, z["h"]["at"] + 2, F.greatest(z["end"] - z["h"]["at"] - 1, F.lit(0))).alias("below")))
-    heads = F.filter(heads, lambda h: h["label"].isNotNull())
-
-    def values(name: str) -> Column:
-        return F.transform(F.filter(heads, lambda h: h["label"] == name), lambda h: P.strip(F.substr(h["line"], F.lit(len(name) + 2))))
-
-    def last(found: Column, otherwise: str = "") -> Column:
-        return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(otherwise))
-
-    def told(name: str) -> Column:
-        return F.filter(values(name), lambda v: F.lower(v) != "unknown")
-
-    def below(name: str) -> Column:
-        return F.flatten(F.transform(F.filter(heads, lambda h: h["label"] == name), lambda h: h["below"]))
-
-    kind = last(values("CONTENT_TYPE"))
-    methods = last(F.filter(values("METHODS"), lambda v: v != ""))
-    points = F.filter(F.transform(below("KEY_POINTS"), P.strip), lambda x: F.startswith(x, F.lit("- ")))
-    return F.struct(
-        last(values("TITLE")).alias("title"),
-        F.when(kind == "", default).otherwise(kind).alias("content_type"),
-        F.filter(F.transform(F.split(last(told("AUTHORS")), ","), P.strip), lambda x: x != "").alias("authors"),
-        last(told("DATE")).alias("date"),
-        F.transform(points, lambda x: F.substr(x, F.lit(3))).alias("key_points"),
-        P.strip(F.array_join(below("BODY"), "\n")).alias("body"),
-        F.when(methods != "", F.create_map(F.lit("methods"), methods)).otherwise(F.create_map().cast("map<string,string>")).alias("extra"),
-    )
+
+    def marked(lines: Column) -> Column:
+        marks = F.transform(lines, lambda x, i: F.struct(F.regexp_extract(P.strip(x), label, 1).alias("label"), i.alias("at"), P.strip(x).alias("line")))
+        return _let(F.filter(marks, lambda m: m["label"] != ""), lambda heads: sections(lines, heads))
+
+    def sections(lines: Column, heads: Column) -> Column:
+        """The sections in order, each with what stands below it up to the next."""
+        end = lambda i: F.coalesce(F.get(heads, i + 1)["at"], F.size(lines))
+        found = F.transform(heads, lambda h, i: F.struct(h["label"].alias("label"), h["line"].alias("line"), F.slice(lines, h["at"] + 2, F.greatest(end(i) - h["at"] - 1, F.lit(0))).alias("below")))
+        return _let(found, _answer)
+
+    def _answer(heads: Column) -> Column:
+        def values(name: str) -> Column:
+            return F.transform(F.filter(heads, lambda h: h["label"] == name), lambda h: P.strip(F.substr(h["line"], F.lit(len(name) + 2))))
+
+        def last(found: Column, otherwise: str = "") -> Column:
+            return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(otherwise))
+
+        def told(name: str) -> Column:
+            return F.filter(values(name), lambda v: F.lower(v) != "unknown")
+
+        def below(name: str) -> Column:
+            return F.flatten(F.transform(F.filter(heads, lambda h: h["label"] == name), lambda h: h["below"]))
+
+        kind = last(F.filter(F.slice(F.reverse(values("CONTENT_TYPE")), 1, 1), lambda v: v != ""), default)
+        methods = last(F.filter(values("METHODS"), lambda v: v != ""))
+        points = F.filter(F.transform(below("KEY_POINTS"), P.strip), lambda x: F.startswith(x, F.lit("- ")))
+        return F.struct(
+            last(values("TITLE")).alias("title"),
+            kind.alias("content_type"),
+            F.filter(F.transform(F.split(last(told("AUTHORS")), ","), P.strip), lambda x: x != "").alias("authors"),
+            last(told("DATE")).alias("date"),
+            F.transform(points, lambda x: F.substr(x, F.lit(3))).alias("key_points"),
+            P.strip(F.array_join(below("BODY"), "\n")).alias("body"),
+            F.when(methods != "", F.create_map(F.lit("methods"), methods)).otherwise(F.create_map().cast("map<string,string>")).alias("extra"),
+        )
+
+    return _let(F.split(P.strip(F.coalesce(answer, F.lit(""))), "\n"), marked)
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def stub(prompts: list[str]) -> list[str]:

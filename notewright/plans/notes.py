@@ -15,6 +15,7 @@ from notewright.functions import patterns as P
 from notewright.functions import text as T
 from notewright.operators import ancestry, annotate, attachments, extract, lines, links, mentions, ontology, outline, profiles, sync
 from notewright.runtime import read_table as table
+from notewright.sources import pages as source
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -307,14 +308,26 @@ def window_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.rate(table(spark, sf_dir, "events"), "ts").select("event_id", "recent")
 
 
-@query("""SELECT event_type, arg_min(user_id, (ts, event_id)) AS author, arg_max(user_id, (ts, event_id)) AS last_editor, count(DISTINCT user_id) AS contributors FROM events GROUP BY 1""")
+@query("""WITH e AS (SELECT user_id, event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t FROM events),
+f AS (SELECT user_id, event_type, min(event_id) AS first FROM e GROUP BY 1, 2)
+SELECT user_id, (SELECT arg_min(event_type, (t, event_id)) FROM e WHERE e.user_id = f.user_id) AS author, string_agg(event_type, '|' ORDER BY first) AS contributors,
+(SELECT arg_max(event_type, event_id) FROM e WHERE e.user_id = f.user_id) AS last_editor FROM f GROUP BY 1""")
 def authorship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = F.struct("ts", "event_id")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.min_by("user_id", order).alias("author"), F.max_by("user_id", order).alias("last_editor"), F.countDistinct("user_id").alias("contributors"))
+    """One page for each user's events, its elements written by the kinds of events."""
+    one = F.concat(F.lit('<OE author="'), F.col("event_type"), F.lit('" creationTime="'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit('" lastModifiedBy="'), F.col("event_type"), F.lit('"/>'))
+    pages = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", one.alias("x")))).alias("a"))
+    xml = F.concat(F.lit("<Page><Outline><OEChildren>"), F.array_join(F.transform("a", lambda s: s["x"]), ""), F.lit("</OEChildren></Outline></Page>"))
+    read = source.convert_pages(pages.select(F.col("user_id").cast("string").alias("key"), xml.alias("xml")), "key", "xml")
+    return read.select(F.col("page_key").cast("long").alias("user_id"), "author", F.array_join("contributors", "|").alias("contributors"), F.col("last_modified_by").alias("last_editor"))
 
 
 # ---- lines
 
+
+def _lang_sql(c: str, languages: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({c}, {_lit(p)}) THEN '{k}'" for k, p in languages.items()) + " ELSE '' END"
+
+
 _LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL)"
 
 
@@ -357,12 +370,19 @@ def fence_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.fence_islands(table(spark, sf_dir, "page_contexts"), "page_row_id", "page_text")
 
 
-@query()
+@query(rf"""WITH {_PAGE_LINES}, b AS (SELECT *, regexp_replace(line, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS bare FROM ln),
+f AS (SELECT *, starts_with(bare, '```') AS fence, sum(starts_with(bare, '```')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS k FROM b),
+c AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY n) AS code FROM f WHERE NOT fence AND k % 2 = 1 GROUP BY 1, 2)
+SELECT doc_id, string_agg(CASE WHEN fence AND f.k % 2 = 1 AND bare = '```' AND coalesce(code, '') <> '' THEN '```' || {_lang_sql("code", P.FENCE_LANGUAGE)} ELSE line END, chr(10) ORDER BY n) AS text FROM f LEFT JOIN c USING (doc_id, k) GROUP BY 1""")
 def label_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.label_fences(table(spark, sf_dir, "page_contexts"), "page_row_id", "page_text")
 
 
-@query()
+@query(rf"""WITH {_PAGE_LINES}, f AS (SELECT *, regexp_extract(line, '!?\[\[(?:[^\[\]|]*/)?([^\[\]|/]+\.[A-Za-z0-9]{{2,5}})(?:\|[^\[\]]*)?\]\]', 1) AS file FROM ln),
+p AS (SELECT *, sum((file <> '' OR starts_with(line, '#'))::INT) OVER (PARTITION BY doc_id ORDER BY n) AS part FROM f),
+t AS (SELECT doc_id, min(n) AS n, 1 AS k, 'text' AS type, NULL AS filename, regexp_replace(string_agg(line, chr(10) ORDER BY n), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS text FROM p WHERE file = '' GROUP BY doc_id, part),
+a AS (SELECT * FROM t WHERE text <> '' UNION ALL SELECT doc_id, n, 0, CASE WHEN regexp_matches(lower(file), '\.(png|jpe?g|bmp|tiff?|gif)$') THEN 'image' ELSE 'file' END, file, NULL FROM f WHERE file <> '')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) AS ord, type, filename, text FROM a""")
 def embed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.embeds(table(spark, sf_dir, "page_contexts"), "page_row_id", "page_text")
 
@@ -393,23 +413,35 @@ def gene_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ontology.gene_aliases(table(spark, sf_dir, "hgnc_complete_set"))
 
 
-@query(rf"""WITH n AS (SELECT 'MONDO:' || regexp_extract(node_id, '(?i)mondo[:_](\d+)', 1) AS id, lbl, synonyms FROM mondo_nodes WHERE upper(trim(node_type)) = 'CLASS' AND regexp_extract(node_id, '(?i)mondo[:_](\d+)', 1) <> '' AND NOT coalesce(deprecated, false) AND length(trim(lbl)) >= 3),
-k AS (SELECT id, lbl, unnest(list_concat([lbl], list_filter(coalesce(synonyms, []::VARCHAR[]), lambda s: length(trim(s)) >= 4))) AS name, generate_subscripts(list_concat([lbl], list_filter(coalesce(synonyms, []::VARCHAR[]), lambda s: length(trim(s)) >= 4)), 1) AS o FROM n),
-f AS (SELECT id, lbl, o, lower(trim(regexp_replace(name, '[\s\p{{Z}}]+', ' ', 'g'))) AS key FROM k)
-SELECT key, arg_min(lbl, (id, o)) AS label, arg_min(id, (id, o)) AS mondo_id FROM f WHERE key NOT IN ({", ".join("'" + s + "'" for s in ontology.DISEASE_STOP)}) GROUP BY 1""")
+_DISEASES = rf"""SELECT key, arg_min(lbl, (id, o)) AS label, arg_min(id, (id, o)) AS mondo_id FROM
+(SELECT id, lbl, o, lower(trim(regexp_replace(name, '[\s\p{{{{Z}}}}]+', ' ', 'g'))) AS key FROM
+(SELECT id, lbl, unnest(list_concat([lbl], list_filter(coalesce(synonyms, []::VARCHAR[]), lambda s: length(trim(s)) >= 4))) AS name, generate_subscripts(list_concat([lbl], list_filter(coalesce(synonyms, []::VARCHAR[]), lambda s: length(trim(s)) >= 4)), 1) AS o FROM
+(SELECT 'MONDO:' || regexp_extract(node_id, '(?i)mondo[:_](\d+)', 1) AS id, lbl, synonyms FROM mondo_nodes WHERE upper(trim(node_type)) = 'CLASS' AND regexp_extract(node_id, '(?i)mondo[:_](\d+)', 1) <> '' AND NOT coalesce(deprecated, false) AND length(trim(lbl)) >= 3) {{under}}))
+WHERE key NOT IN ({", ".join("'" + s + "'" for s in ontology.DISEASE_STOP)}) GROUP BY 1"""
+_DISEASE_LINKS = r"""l AS (SELECT DISTINCT 'MONDO:' || regexp_extract(sub, '(?i)mondo[:_](\d+)', 1) AS c, 'MONDO:' || regexp_extract(obj, '(?i)mondo[:_](\d+)', 1) AS p FROM mondo_edges
+WHERE lower(trim(pred)) = 'is_a' AND regexp_extract(sub, '(?i)mondo[:_](\d+)', 1) <> '' AND regexp_extract(obj, '(?i)mondo[:_](\d+)', 1) <> '')"""
+_BELOW = "r AS (SELECT min(p) AS node FROM l WHERE p NOT IN (SELECT c FROM l)), b(node) AS (SELECT node FROM r UNION SELECT l.c FROM l JOIN b ON l.p = b.node)"
+
+
+def _root(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The first root of the disease links, and these."""
+    found, _ = ancestry.disease_links(table(spark, sf_dir, "mondo_edges"))
+    return found.join(found.select(F.col("child").alias("parent")), "parent", "left_anti").agg(F.min("parent")).first()[0], found
+
+
+@query(f"WITH RECURSIVE {_DISEASE_LINKS}, {_BELOW} {_DISEASES.format(under='WHERE id IN (SELECT node FROM b)')}")
 def disease_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ontology.diseases(spark, table(spark, sf_dir, "mondo_nodes"), table(spark, sf_dir, "mondo_edges"), None)
+    return ontology.diseases(spark, table(spark, sf_dir, "mondo_nodes"), table(spark, sf_dir, "mondo_edges"), _root(spark, sf_dir)[0])
 
 
-_DISEASE_LINKS = r"""l AS (SELECT DISTINCT 'MONDO:' || regexp_extract(sub, '(?i)mondo[:_](\d+)', 1) AS c, 'MONDO:' || regexp_extract(obj, '(?i)mondo[:_](\d+)', 1) AS p FROM mondo_edges
-WHERE lower(trim(pred)) = 'is_a' AND regexp_extract(sub, '(?i)mondo[:_](\d+)', 1) <> '' AND regexp_extract(obj, '(?i)mondo[:_](\d+)', 1) <> '')"""
+@query(_DISEASES.format(under=""))
+def disease_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ontology.diseases(spark, table(spark, sf_dir, "mondo_nodes"), table(spark, sf_dir, "mondo_edges"), None)
 
 
-@query(f"WITH RECURSIVE {_DISEASE_LINKS}, r AS (SELECT min(p) AS node FROM l WHERE p NOT IN (SELECT c FROM l)), b(node) AS (SELECT node FROM r UNION SELECT l.c FROM l JOIN b ON l.p = b.node) SELECT node FROM b")
+@query(f"WITH RECURSIVE {_DISEASE_LINKS}, {_BELOW} SELECT node FROM b")
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = ancestry.disease_links(table(spark, sf_dir, "mondo_edges"))
-    root = found.join(found.select(F.col("child").alias("parent")), "parent", "left_anti").agg(F.min("parent")).first()[0]
-    return ontology.below(spark, root, found)
+    return ontology.below(spark, *_root(spark, sf_dir))
 
 
 _VARIANTS = r"""v AS (SELECT lower(trim(entity_type)) AS entity_type, lower(trim(regexp_replace(variant_name, '[\s\p{Z}]+', ' ', 'g'))) AS variant, canonical, ord FROM dict_variants WHERE trim(regexp_replace(variant_name, '[\s\p{Z}]+', ' ', 'g')) <> '' AND canonical IS NOT NULL),
@@ -456,47 +488,98 @@ def drug_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _variant_match(spark, sf_dir, "drugs")
 
 
-@query()
+_SAID = "sd AS (SELECT mention_id AS doc_id, 'One patient: ' || text || ' was noted' AS text FROM entity_mentions WHERE text IS NOT NULL)"
+
+
+def _said_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mentions say, each in a sentence of its own: texts that hold the names of all types."""
+    rows = table(spark, sf_dir, "entity_mentions").where("text is not null")
+    return rows.select(F.col("mention_id").alias("doc_id"), F.concat(F.lit("One patient: "), F.col("text"), F.lit(" was noted")).alias("text"))
+
+
+_ALONE = r"regexp_matches(lower(text), '(^|[^A-Za-z0-9\-/])' || regexp_escape(key) || '([^\p{L}\p{N}_]|$)')"
+
+
+@query(rf"""WITH {_SAID}, {_GENES}, sy AS (SELECT symbol, arg_max(hgnc_id, row_id) AS hgnc_id FROM g GROUP BY 1),
+ba AS (SELECT row_id, symbol, trim(unnest(list_concat(string_split(coalesce(alias_symbol, ''), '|'), string_split(coalesce(prev_symbol, ''), '|')))) AS alias FROM g),
+al AS (SELECT alias, arg_max(symbol, row_id) AS symbol FROM ba WHERE alias <> '' AND alias NOT IN (SELECT symbol FROM g) GROUP BY 1),
+tk AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b([A-Z][A-Z0-9]+(?:-[A-Z0-9]+)*)\b', 1)) AS token, generate_subscripts(regexp_extract_all(text, '\b([A-Z][A-Z0-9]+(?:-[A-Z0-9]+)*)\b', 1), 1) AS k FROM sd),
+kn AS (SELECT doc_id, token, min(k) AS k, coalesce(any_value(s.symbol), any_value(al.symbol)) AS canonical FROM tk LEFT JOIN sy s ON s.symbol = token LEFT JOIN al ON al.alias = token
+  WHERE NOT list_contains({_words(extract.NEVER_GENES)}, token) OR list_contains({_words(extract.ALWAYS_GENES)}, token) GROUP BY 1, 2),
+fd AS (SELECT * FROM kn WHERE canonical IS NOT NULL)
+SELECT doc_id, token AS text, canonical, coalesce(sy.hgnc_id, '') AS ontology_id FROM fd LEFT JOIN sy ON sy.symbol = canonical
+WHERE token <> canonical OR NOT EXISTS (SELECT 1 FROM fd o WHERE o.doc_id = fd.doc_id AND o.canonical = fd.canonical AND o.token <> o.canonical AND o.k < fd.k)""")
 def gene_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text names a patient, so each symbol is in context."""
     t = table(spark, sf_dir, "hgnc_complete_set")
-    return extract.genes(_docs(spark, sf_dir), ontology.genes(t), ontology.gene_aliases(t))
+    return extract.genes(_said_docs(spark, sf_dir), ontology.genes(t), ontology.bar_aliases(t)).select("doc_id", "text", "canonical", "ontology_id")
 
 
-@query()
+@query(rf"""WITH {_SAID}, dn AS ({_DISEASES.format(under="")}),
+an AS (SELECT *, list_sort(list_filter(regexp_extract_all(key, '[a-z]{{4,}}'), lambda x: true), 'ASC') AS runs FROM dn WHERE length(key) >= 4 AND NOT list_contains({_words([*extract.DISEASE_GENERIC, *extract.DISEASE_NEVER])}, key) AND NOT list_contains({_words(extract.DISEASE_GENERIC)}, lower(label))),
+ht AS (SELECT doc_id, key, label, mondo_id FROM sd JOIN an ON contains(lower(text), key) WHERE len(runs) > 0 AND {_ALONE}),
+bt AS (SELECT doc_id, lower(label) AS l, min((-length(key), key, label, mondo_id)) AS m FROM ht GROUP BY 1, 2)
+SELECT doc_id, m[2] AS text, m[3] AS canonical, coalesce(m[4], '') AS ontology_id FROM bt""")
 def disease_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.diseases(_docs(spark, sf_dir), disease_dictionary(spark, sf_dir))
+    return extract.diseases(_said_docs(spark, sf_dir), disease_names(spark, sf_dir)).select("doc_id", "text", "canonical", "ontology_id")
 
 
-@query()
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known compounds as the mentions name them."""
+    kind = F.lower(P.strip(F.col("entity_type")))
+    return table(spark, sf_dir, "entity_mentions").where(kind.isin("compounds", "compound") & F.col("canonical").isNotNull()).groupBy(F.upper(P.strip(F.col("canonical"))).alias("code")).agg(F.min("canonical").alias("canonical"))
+
+
+_STRIP = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
+@query(rf"""WITH {_SAID}, cd AS (SELECT upper({_STRIP.format("canonical")}) AS code, min(canonical) AS canonical FROM entity_mentions WHERE lower({_STRIP.format("entity_type")}) IN ('compounds', 'compound') AND canonical IS NOT NULL GROUP BY 1),
+fd AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\bM(\d{{4}})\b', 0))) AS code, true AS short FROM sd UNION SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\bMSC(\d{{6,9}})\b', 0))), false FROM sd)
+SELECT doc_id, fd.code AS text, CASE WHEN short AND canonical IS NOT NULL THEN canonical ELSE fd.code END AS canonical, CASE WHEN short AND canonical <> fd.code THEN fd.code ELSE '' END AS ontology_id FROM fd LEFT JOIN cd ON cd.code = fd.code""")
 def compound_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = table(spark, sf_dir, "entity_mentions").where("lower(trim(entity_type)) in ('compounds', 'compound') and canonical is not null").groupBy(F.upper("canonical").alias("code")).agg(F.min("canonical").alias("canonical"))
-    pages = table(spark, sf_dir, "page_contexts").select(F.col("page_row_id").alias("doc_id"), F.col("page_text").alias("text"))
-    return extract.compounds(pages, codes)
+    return extract.compounds(_said_docs(spark, sf_dir), _codes(spark, sf_dir)).select("doc_id", "text", "canonical", "ontology_id")
 
 
-@query()
+_STOPS = "['at', 'in', 'for', 'from', 'since', 'who', 'with', 'is', 'was']"
+
+
+@query(rf"""WITH {_SAID}, hd AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\bHead of ([\w/-]+(?:[ \t]+[\w/-]+){{0,5}})', 1)) AS said FROM sd),
+wd AS (SELECT doc_id, said, regexp_split_to_array(said, '[ \t]+') AS w FROM hd),
+ct AS (SELECT doc_id, said, w, coalesce(list_min(list_filter(range(2, len(w) + 1), lambda i: list_contains({_STOPS}, lower(regexp_extract(w[i], '^\w+'))))), len(w) + 1) AS n FROM wd),
+tt AS (SELECT doc_id, t AS title FROM sd, (SELECT unnest({_words(extract.ROLES)}) AS t) WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9\-/])' || t || '([^\p{{L}}\p{{N}}_]|$)')),
+al AS (SELECT doc_id, 'Head of ' || array_to_string(w[1:n - 1], ' ') AS title FROM ct UNION SELECT doc_id, title FROM tt
+  WHERE title <> 'Director' OR NOT EXISTS (SELECT 1 FROM tt o WHERE o.doc_id = tt.doc_id AND o.title IN ('Executive Director', 'Associate Director', 'Senior Director')))
+SELECT DISTINCT doc_id, title AS canonical FROM al""")
 def role_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.roles(_docs(spark, sf_dir))
+    return extract.roles(_said_docs(spark, sf_dir)).select("doc_id", "canonical")
+
 
+_TRIALS = r"tr AS (SELECT lower(trim(canonical)) AS key, min(trim(canonical)) AS named FROM entity_mentions WHERE lower(trim(entity_type)) IN ('clinical_trials', 'clinical_trial') AND length(trim(canonical)) >= 4 GROUP BY 1)"
 
-@query(r"""WITH d AS (SELECT mention_id, list_distinct(regexp_extract_all(text, '\b(NCT\d{8})\b', 1)) AS n FROM entity_mentions WHERE text IS NOT NULL) SELECT mention_id AS doc_id, unnest(n) AS canonical FROM d""")
+
+@query(rf"""WITH {_SAID}, {_TRIALS}, n AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b(NCT\d{{8}})\b', 1))) AS canonical FROM sd)
+SELECT doc_id, canonical FROM n UNION SELECT doc_id, named FROM sd JOIN tr ON contains(lower(text), key) WHERE {_ALONE}""")
 def trial_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "entity_mentions").select(F.col("mention_id").alias("doc_id"), "text")
-    none = spark.createDataFrame([], "entity_type string, variant string, canonical string, ord int")
-    return extract.clinical_trials(rows, none).select("doc_id", "canonical")
+    """Registry numbers, and trials by the names the mentions give them."""
+    m = table(spark, sf_dir, "entity_mentions").where(F.lower(F.trim("entity_type")).isin("clinical_trials", "clinical_trial") & F.trim("canonical").isNotNull())
+    named = m.groupBy(F.lower(F.trim("canonical")).alias("variant")).agg(F.min(F.trim("canonical")).alias("canonical")).select(F.lit("clinical_trials").alias("entity_type"), "variant", "canonical", F.lit(0).alias("ord"))
+    return extract.clinical_trials(_said_docs(spark, sf_dir), named).select("doc_id", "canonical")
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of the types without a dictionary table, as the mentions show them."""
+    plural = {"method": "methods", "pathway": "pathways", "conference": "conferences", "department": "departments", "cell_line": "cell_lines", "clinical_trial": "clinical_trials"}
+    kind = F.lower(P.strip(F.col("entity_type")))
+    named = F.coalesce(F.create_map(*[F.lit(x) for kv in plural.items() for x in kv])[kind], kind)
+    m = table(spark, sf_dir, "entity_mentions").select(named.alias("entity_type"), P.strip(F.col("canonical")).alias("canonical")).where("canonical <> ''")
+    return m.where(F.col("entity_type").isin(*plural.values())).groupBy("entity_type", F.lower("canonical").alias("variant")).agg(F.min("canonical").alias("canonical")).withColumn("ord", F.lit(0))
 
 
 @query()
 def all_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All twelve types over the documents, with the variants the mentions themselves show for the types without a
-    dictionary table."""
-    m = table(spark, sf_dir, "entity_mentions").where("canonical is not null and trim(canonical) <> ''")
-    kind = F.lower(F.trim("entity_type"))
-    known = m.select(F.when(kind.isin("method", "methods"), "methods").when(kind.isin("pathway", "pathways"), "pathways").when(kind.isin("conference", "conferences"), "conferences").when(kind.isin("department", "departments"), "departments").when(kind.isin("cell_line", "cell_lines"), "cell_lines").alias("entity_type"), F.lower(F.trim("canonical")).alias("variant"), F.trim("canonical").alias("canonical"))
-    seen = known.where("entity_type is not null").groupBy("entity_type", "variant").agg(F.min("canonical").alias("canonical")).withColumn("ord", F.lit(0))
-    codes = spark.createDataFrame([], "code string, canonical string")
+    """All twelve types over the documents; SQL checks the types one by one."""
     t = table(spark, sf_dir, "hgnc_complete_set")
-    return extract.all_mentions(_docs(spark, sf_dir), variant_dictionary(spark, sf_dir).unionByName(seen), ontology.genes(t), ontology.gene_aliases(t), disease_dictionary(spark, sf_dir), codes)
+    return extract.all_mentions(_docs(spark, sf_dir), variant_dictionary(spark, sf_dir).unionByName(_known(spark, sf_dir)), ontology.genes(t), ontology.gene_aliases(t), disease_names(spark, sf_dir), _codes(spark, sf_dir))
 
 
 # ---- mentions
@@ -530,13 +613,22 @@ def merge_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.merge(m.where("confidence = 1.0"), m.where("confidence is null or confidence <> 1.0")).select("ord", "doc_id", "entity_type", "canonical", "ontology_id")
 
 
-@query(f"""WITH {_CLEAN}, o AS (SELECT page_key, entity_type, lower(canonical) AS l, arg_max(canonical, mention_id) FILTER (substr(canonical, 1, 1) <> lower(substr(canonical, 1, 1))) AS u, arg_min(canonical, mention_id) AS f FROM m GROUP BY 1, 2, 3)
+@query(f"""WITH {_VARIANTS}, {_CLEAN}, dn AS (SELECT key, min(mondo_id) AS mondo_id FROM ({_DISEASES.format(under="")}) GROUP BY 1),
+i AS (SELECT m.* EXCLUDE (ontology_id), CASE WHEN coalesce(ontology_id, '') = '' AND entity_type = 'diseases' THEN coalesce(dn.mondo_id, '') ELSE coalesce(ontology_id, '') END AS id FROM m LEFT JOIN dn ON dn.key = lower(m.canonical)),
+k AS (SELECT * FROM i QUALIFY id = '' OR mention_id = min(mention_id) OVER (PARTITION BY page_key, entity_type, id)),
+w AS (SELECT variant, arg_max(canonical, (entity_type = 'companies', ord, canonical)) AS whole, min((entity_type = 'companies', ord, canonical)) AS place FROM d WHERE entity_type IN ('methods', 'companies') GROUP BY 1),
+b AS (SELECT regexp_replace(variant, '[ -]', '', 'g') AS bare, arg_min(whole, place) AS alike FROM w GROUP BY 1),
+n AS (SELECT k.* EXCLUDE (canonical), CASE WHEN entity_type IN ('methods', 'companies') THEN coalesce(w.whole, b.alike, canonical) ELSE canonical END AS canonical FROM k LEFT JOIN w ON w.variant = lower(canonical) LEFT JOIN b ON b.bare = regexp_replace(lower(canonical), '[ -]', '', 'g')),
+o AS (SELECT page_key, entity_type, lower(canonical) AS l, arg_max(canonical, mention_id) FILTER (substr(canonical, 1, 1) <> lower(substr(canonical, 1, 1))) AS u, arg_min(canonical, mention_id) AS f FROM n GROUP BY 1, 2, 3)
 SELECT page_key AS doc_id, entity_type, array_to_string(list_sort(list(coalesce(u, f))), '|') AS names FROM o GROUP BY 1, 2""")
 def entity_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions.lists(_clean(spark, sf_dir)).select("doc_id", "entity_type", F.array_join("names", "|").alias("names"))
+    names = ontology.diseases(spark, table(spark, sf_dir, "mondo_nodes"), table(spark, sf_dir, "mondo_edges"), None)
+    return mentions.lists(_clean(spark, sf_dir), variant_dictionary(spark, sf_dir), names).select("doc_id", "entity_type", F.array_join("names", "|").alias("names"))
 
 
-@query(f"""WITH {_CLEAN} SELECT page_key AS doc_id, text, arg_max(canonical, (coalesce(list_position({_words(extract.TYPES)}, entity_type), 0), mention_id)) AS canonical FROM m WHERE entity_type <> 'roles' AND length(text) >= 3 GROUP BY 1, 2""")
+@query(f"""WITH {_CLEAN}, r AS (SELECT *, coalesce(list_position({_words(extract.TYPES)}, entity_type), 0) AS rank FROM m WHERE entity_type <> 'roles'),
+e AS (SELECT page_key, text AS t, canonical, rank, mention_id, 0 AS k FROM r UNION ALL SELECT page_key, canonical, canonical, rank, mention_id, 1 FROM r)
+SELECT page_key AS doc_id, t AS text, arg_max(canonical, (rank, mention_id, k)) AS canonical FROM e WHERE length(t) >= 3 GROUP BY 1, 2""")
 def link_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.link_texts(_clean(spark, sf_dir))
 
@@ -550,9 +642,13 @@ def subsidiaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     genes = ontology.genes(table(spark, sf_dir, "hgnc_complete_set"))
     aliases = ontology.gene_aliases(table(spark, sf_dir, "hgnc_complete_set")).groupBy("symbol").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
-    genes = genes.join(aliases, "symbol", "left").select("symbol", F.lit("").alias("name"), "hgnc_id", "aliases")
-    diseases = disease_dictionary(spark, sf_dir).select("key", "mondo_id", F.array().cast("array<string>").alias("parents"))
-    compounds = spark.createDataFrame([], "canonical string, target string, class string, variants array<string>")
+    genes = genes.join(aliases, "symbol", "left").select("symbol", F.col("symbol").alias("name"), "hgnc_id", "aliases")
+    links_, _ = ancestry.disease_links(table(spark, sf_dir, "mondo_edges"))
+    names = disease_names(spark, sf_dir)
+    up = links_.join(names.groupBy(F.col("mondo_id").alias("parent")).agg(F.min("label").alias("p")), "parent").groupBy(F.col("child").alias("mondo_id")).agg(F.array_sort(F.collect_set("p")).alias("parents"))
+    diseases = names.join(up, "mondo_id", "left").select("key", "mondo_id", "parents")
+    # Of a compound the tables know the code only.
+    compounds = _codes(spark, sf_dir).select("canonical", F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("class"), F.array("code").alias("variants"))
     return mentions.pages(entity_index(spark, sf_dir), genes, diseases, compounds, table(spark, sf_dir, "company_parents"))
 
 
@@ -643,9 +739,10 @@ def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 0 AS column_no, 'c_name' AS column_name, 'string' AS data_type, count(c_name) AS non_null, count(*) AS row_count, substr(arg_min(c_name, c_custkey), 1, 50) AS first_value FROM customer
 UNION ALL SELECT 1, 'c_nationkey', 'int', count(c_nationkey), count(*), arg_min(c_nationkey, c_custkey)::VARCHAR FROM customer
-UNION ALL SELECT 2, 'c_mktsegment', 'string', count(c_mktsegment), count(*), arg_min(c_mktsegment, c_custkey) FROM customer""")
+UNION ALL SELECT 2, 'c_acctbal', 'double', count(c_acctbal), count(*), arg_min(c_acctbal, c_custkey)::VARCHAR FROM customer
+UNION ALL SELECT 3, 'c_mktsegment', 'string', count(c_mktsegment), count(*), arg_min(c_mktsegment, c_custkey) FROM customer""")
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.profile(table(spark, sf_dir, "customer").drop("c_acctbal"), "c_custkey")
+    return profiles.profile(table(spark, sf_dir, "customer"), "c_custkey")
 
 
 @query("""WITH r AS (SELECT l_orderkey, row_number() OVER o AS row_no, l_quantity AS filled, median(l_quantity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity))
@@ -677,11 +774,16 @@ def structured_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", annotate.structured(F.col("text")).alias("r")).select("doc_id", "r.title", F.array_join("r.authors", "|").alias("authors"), "r.date", F.size("r.key_points").alias("points"), "r.body")
 
 
-@query()
+@query(r"""WITH p AS (SELECT page_key, arg_min(coalesce(page_title, ''), page_row_id) AS title, (list(page_text ORDER BY page_row_id))[1] AS body FROM page_contexts WHERE page_key IS NOT NULL GROUP BY 1),
+g AS (SELECT * FROM p WHERE len(list_filter(regexp_split_to_array(body, '[\s\p{Z}]+'), lambda x: x <> '')) >= 50),
+t AS (SELECT page_key, body, list_sort(list_transform(list_distinct(regexp_extract_all(lower('Title: ' || title || chr(10) || substr(body, 1, 3000)), '[a-z]{6,}')), lambda w: {'n': -length(w), 'w': w}))[1:5] AS w FROM g)
+SELECT page_key, substr(sha256(body), 1, 16) AS hash, CASE WHEN substr(page_key, 1, 1) < '8' THEN 'kept' ELSE array_to_string(list_transform(w, lambda x: x.w), '|') END AS tags FROM t""")
 def tagged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "page_contexts").where("page_key is not null").groupBy("page_key").agg(F.min_by(F.struct("page_title", "page_text"), "page_row_id").alias("p"))
-    cache = spark.createDataFrame([], "page_key string, hash string, tags array<string>")
-    return annotate.tagged(pages.select("page_key", F.col("p.page_title").alias("title"), F.col("p.page_text").alias("body")), cache).select("page_key", "hash", F.array_join("tags", "|").alias("tags"))
+    pages = pages.select("page_key", F.col("p.page_title").alias("title"), F.col("p.page_text").alias("body"))
+    # About half of the pages were tagged before.
+    cache = pages.where(F.substring("page_key", 1, 1) < "8").select("page_key", T.hash16(F.col("body")).alias("hash"), F.array(F.lit("kept")).alias("tags"))
+    return annotate.tagged(pages, cache).select("page_key", "hash", F.array_join("tags", "|").alias("tags"))
 
 
 def _domain_sql() -> str:

@@ -8,6 +8,7 @@ import re
 import struct
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from notewright.operators import ontology
 
-MOST_ROWS, MOST_PAGES = 100, 20
+#: How many rows of a table and pages of a PDF are read; None reads all.
+MOST_ROWS: int | None = 100
+MOST_PAGES: int | None = 20
 
 
 def _xml(data: bytes) -> ET.Element:
@@ -55,8 +58,9 @@ def pptx_text(data: bytes) -> str:
         parts = text(_xml(z.read(n)))
         notes = n.replace("slides/slide", "notesSlides/notesSlide")
         if notes in names and (spoken := text(_xml(z.read(notes)))):
-            parts.append("Notes: " + " ".join(spoken))
-        out.append(f"--- Slide {k} ---\n" + "\n".join(parts))
+            parts.append("[speaker notes] " + " ".join(spoken))
+        if parts:  # a slide without text is left out
+            out.append(f"--- Slide {k} ---\n" + "\n".join(parts))
     return "\n\n".join(out)
 
 
@@ -115,7 +119,7 @@ def xlsx_rows(data: bytes) -> dict[str, list[list[str]]]:
                 v = next((x.text or "" for x in c.iter() if _local(x) in ("v", "t")), "")
                 cells += [""] * (at - len(cells)) + [shared[int(v)] if c.get("t") == "s" and v else v]
             rows.append(cells)
-            if len(rows) >= MOST_ROWS:
+            if MOST_ROWS is not None and len(rows) >= MOST_ROWS:
                 break
         out[name] = rows
     return out
@@ -129,7 +133,7 @@ def table_rows(files: DataFrame, filename: str, content: str) -> DataFrame:
         if kind == "xlsx":
             return [(name, s, k, n, cells) for k, (s, rows) in enumerate(xlsx_rows(data).items()) for n, cells in enumerate(rows)]
         lines = csv.reader(io.StringIO(data.decode("utf-8", "replace")), delimiter="\t" if kind == "tsv" else ",")
-        return [(name, "", 0, n, cells) for n, cells in zip(range(MOST_ROWS), lines)]
+        return [(name, "", 0, n, cells) for n, cells in enumerate(islice(lines, MOST_ROWS))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -231,6 +235,11 @@ def read_variants(spark: SparkSession, path: str, entity_type: str) -> tuple[Dat
     )
 
 
+def read_words(spark: SparkSession, path: str) -> list[str]:
+    """The words of a curated list, one a line; blank lines and what follows ``#`` do not count."""
+    return [w for r in spark.read.text(path).collect() if (w := r.value.split("#")[0].strip())]
+
+
 def read_denylist(spark: SparkSession, path: str) -> DataFrame:
     """(guard, entity_type, term) of the denylist YAML."""
     import yaml

@@ -2,6 +2,9 @@ import base64
 import io
 import zipfile
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from notewright.sources import files, pages, state
@@ -50,8 +53,46 @@ def test_state_versions(spark, tmp_path):
     state.save(spark.createDataFrame([("a", 1)], schema), root, "t")
     state.save(spark.createDataFrame([("a", 2)], schema), root, "t")
     assert [tuple(r) for r in state.load(spark, root, "t", schema).collect()] == [("a", 2)]
-    (tmp_path / "t" / "CURRENT").write_text("missing")
-    assert state.load(spark, root, "t", schema).count() == 0
+    other = spark.createDataFrame([("a", "x")], "key string, n string")
+    state.save(other, root, "t")
+    assert state.load(spark, root, "t", schema).count() == 0  # another layout: afresh
+    state.save(spark.createDataFrame([("a", 3)], schema), root, "t")
+    assert len([f for f in os.listdir(tmp_path / "t") if f.startswith("CURRENT")]) == 2 and len([f for f in os.listdir(tmp_path / "t") if f.startswith("v-")]) == 2
+
+
+def test_a_broken_save_leaves_the_old_state_and_a_broken_state_ends_the_run(spark, tmp_path, monkeypatch):
+    root, schema = str(tmp_path), "key string, n int"
+    state.save(spark.createDataFrame([("a", 1)], schema), root, "t")
+    failing = spark.createDataFrame([("a", 2)], schema).withColumn("n", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        state.save(failing, root, "t")
+    assert [tuple(r) for r in state.load(spark, root, "t", schema).collect()] == [("a", 1)]
+    # Another run that ended in between keeps its number.
+    (tmp_path / "t" / "CURRENT-000000000002").write_text((tmp_path / "t" / "CURRENT-000000000001").read_text())
+    monkeypatch.setattr(state, "_pointers", lambda *a: [(1, "CURRENT-000000000001")])
+    with pytest.raises(RuntimeError, match="another run"):
+        state.save(spark.createDataFrame([("a", 3)], schema), root, "t")
+    monkeypatch.undo()
+    assert [tuple(r) for r in state.load(spark, root, "t", schema).collect()] == [("a", 1)]
+    (tmp_path / "t" / "CURRENT-000000000002").write_text("v-missing")
+    with pytest.raises(Exception):  # noqa: B017 - a state that cannot be read is no empty one
+        state.load(spark, root, "t", schema).count()
+
+
+def test_files_are_removed_with_their_empty_folders(spark, tmp_path):
+    for f in ("a/b/x.md", "a/y.md"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("x")
+    df = spark.createDataFrame([("a/b/x.md",), ("a/none.md",)], "p string")
+    assert {r.path: r.removed for r in state.remove_files(df, str(tmp_path), "p").collect()} == {"a/b/x.md": True, "a/none.md": False}
+    assert not (tmp_path / "a/b").exists() and (tmp_path / "a/y.md").exists()
+    with pytest.raises(Exception, match="leaves the folder"):
+        state.remove_files(spark.createDataFrame([("../x",)], "p string"), str(tmp_path), "p").collect()
+
+
+def test_word_lists(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("CAT\n\n# none\nCAR # a car\n")
+    assert files.read_words(spark, str(tmp_path / "w.txt")) == ["CAT", "CAR"]
 
 
 def test_files_are_written_once(spark, tmp_path):
@@ -76,7 +117,7 @@ def test_file_texts_and_tables(spark):
     xlsx = _zip(xl__workbook='<w><s><sheet name="A"/></s></w>', xl__sharedStrings="<s><si><t>name</t></si></s>", xl__worksheets__sheet1='<w><d><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>5</v></c></row></d></w>')
     df = spark.createDataFrame([("a.docx", bytearray(docx)), ("b.pptx", bytearray(pptx)), ("c.html", bytearray(b"<style>q</style><p>T  x</p>")), ("d.docx", bytearray(b"broken")), ("e.xyz", bytearray(b""))], "filename string, content binary")
     got = {r.filename: (r.text, r.error) for r in files.extract_text(df, "filename", "content").collect()}
-    assert got["a.docx"] == ("One\nTwo", None) and got["b.pptx"][0] == "--- Slide 1 ---\nHi\nx | y\nNotes: say" and got["c.html"][0] == "T x"
+    assert got["a.docx"] == ("One\nTwo", None) and got["b.pptx"][0] == "--- Slide 1 ---\nHi\nx | y\n[speaker notes] say" and got["c.html"][0] == "T x"
     assert got["d.docx"][0] is None and got["d.docx"][1].startswith("BadZipFile") and got["e.xyz"] == (None, "no reader")
     t = spark.createDataFrame([("x.csv", bytearray(b"a,b\n1,\"2,3\"\n")), ("y.tsv", bytearray(b"p\tq\n")), ("z.xlsx", bytearray(xlsx))], "filename string, content binary")
     assert {(r.filename, r.row_no): r.cells for r in files.table_rows(t, "filename", "content").collect()} == {("x.csv", 0): ["a", "b"], ("x.csv", 1): ["1", "2,3"], ("y.tsv", 0): ["p", "q"], ("z.xlsx", 0): ["name", "", "5"]}
