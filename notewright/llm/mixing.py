@@ -117,6 +117,7 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str, text: str, source
     # q / (1 + q) of the Pareto rank q = (u / (1 - u)) / (p / (1 - p)): the same order, between 0 and 1.
     ranked = sized.withColumn("p", p).withColumn("rank", F.when(F.col("p") >= 1.0, F.lit(0.0)).when(F.col("p") <= 0.0, F.lit(1.0)).otherwise(u * (1 - F.col("p")) / (u * (1 - F.col("p")) + (1 - u) * F.col("p"))))
     ranked = keep.save(ranked.select("doc", "src", "tokens", "rank"))
+    keep.drop(sized)
     low, high, room = dict.fromkeys(wanted, 0.0), dict.fromkeys(wanted, 1.0), dict(rest)
     chosen_below = dict.fromkeys(wanted, -1.0)  # ranks under this are taken
     open_sources = [s for s in wanted if rest[s] > 0]
