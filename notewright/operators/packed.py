@@ -1,8 +1,8 @@
 """Fields that hold several values: one row per value, with its position.
 
-The scan runs over whole Arrow batches. The code points of all fields of a batch lie in one buffer; quote
-parity and delimiter masks are computed over that buffer at once, child offsets follow from the masks, and the
-list array built from them is flattened beside the parents' ordinals.
+The scan runs over the string buffers of whole Arrow batches. Quote parity and delimiter masks are computed over the code
+points of all fields at once; the values' bytes and offsets follow from the masks, and the list array built from them is
+flattened beside the parents' ordinals. No field and no value is looked at by itself.
 """
 
 from __future__ import annotations
@@ -55,32 +55,49 @@ def _inside(points: np.ndarray, skip: np.ndarray, edge: np.ndarray, row: np.ndar
     opens = quote & edge[before]
     closes = quote & edge[after] & ~opens
     alone = quote & edge[before] & edge[after]  # beside a delimiter inside quotes a quote can be either
-    place = np.flatnonzero(opens | closes)
-    if not len(place):
-        return np.zeros(n, dtype=bool)
-    # Parity: an open state begins at an opening quote met while closed, and ends at the next closing quote of the row.
-    inside = np.zeros(n + 1, dtype=np.int32)
-    state, began = -1, -1
-    for p, op, both in zip(place.tolist(), opens[place].tolist(), alone[place].tolist()):
-        if state == row[p] and (not op or both):
-            if not (began == first[state] and p == last[state]):
-                inside[began] += 1
-                inside[p] -= 1
-            state = -1
-        elif op:
-            state, began = row[p], p
+    spans = _paired(np.flatnonzero(opens | closes), opens, alone, row)
+    whole = (spans[:, 0] == first[row[spans[:, 0]]]) & (spans[:, 1] == last[row[spans[:, 0]]])
+    spans = spans[~whole]
+    inside = np.bincount(spans[:, 0], minlength=n + 1)[: n + 1] - np.bincount(spans[:, 1], minlength=n + 1)[: n + 1]
     return np.cumsum(inside[:n]) > 0
 
 
+def _paired(place: np.ndarray, opens: np.ndarray, alone: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """(opening, closing) places of quotes. In each field a span ends at the first quote that can close after one that
+    opens, and begins at the last one that opens before that. All fields go on together, one span a round."""
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    can_open, can_close = place[opens[place]], place[~opens[place] | alone[place]]
+    at = np.unique(row[place], return_index=True)[1] if len(place) else place[:0]
+    at = place[at]  # where each field's search stands
+    while len(at) and len(can_open) and len(can_close):
+        k = np.searchsorted(can_open, at)
+        ok = k < len(can_open)
+        begin = can_open[k[ok]]
+        begin = begin[row[begin] == row[at[ok]]]
+        k = np.searchsorted(can_close, begin, side="right")
+        ok = k < len(can_close)
+        begin, end = begin[ok], can_close[k[ok]]
+        same = row[begin] == row[end]
+        begin, end = begin[same], end[same]
+        found.append(np.stack([can_open[np.searchsorted(can_open, end) - 1], end], axis=1))
+        at = end + 1
+        at = at[row[np.minimum(at, len(row) - 1)] == row[end]]
+    return np.concatenate(found)
+
+
 def split_array(values: pa.Array) -> pa.ListArray:
     """Split each field of a string array; null, blank and stand-in fields give empty lists."""
     values = pc.fill_null(values.cast(pa.large_string()), "")
-    lengths = pc.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
     rows = len(values)
     if rows == 0:
         return pa.array([], type=pa.list_(pa.string()))
-    text = chr(_SEPARATOR).join(values.to_pylist()) + chr(_SEPARATOR)
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lengths = pc.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+    # The batch's one buffer of text, as code points, with a separator behind each field.
+    bounds = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + rows + 1]
+    data = values.buffers()[2]
+    encoded = data[int(bounds[0]) : int(bounds[-1])].to_pybytes() if data is not None else b""
+    bare = np.frombuffer(encoded.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    points = np.insert(bare, np.cumsum(lengths), _SEPARATOR)
     ends = np.cumsum(lengths + 1) - 1  # the separators' places
     n = len(points)
     index = np.arange(n)
@@ -116,15 +133,27 @@ def split_array(values: pa.Array) -> pa.ListArray:
     finish = _previous(index, body)[piece_end]
     filled = (begin < piece_end) & (finish >= piece_start)
     begin, finish, owner = begin[filled], finish[filled] + 1, row[piece_end[filled]]
-    pieces = [text[a:b] for a, b in zip(begin.tolist(), finish.tolist())]
-    keep = np.fromiter((not _no_value(p) for p in pieces), dtype=bool, count=len(pieces))
-    child = pa.array([p for p, k in zip(pieces, keep) if k], type=pa.string())
+    # The values' bytes lie in order in the buffer: keep these, and the pieces' lengths are the child's offsets.
+    kept = np.zeros(n + 1, dtype=np.int32)
+    np.add.at(kept, begin, 1)
+    np.add.at(kept, finish, -1)
+    kept = np.cumsum(kept[:n]) > 0
+    width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+    width[separator] = 0
+    upto = np.concatenate(([0], np.cumsum(np.where(kept, width, 0))))
+    flat = np.frombuffer(encoded, dtype=np.uint8)[np.repeat(kept, width)]
+    child_bounds = np.concatenate(([0], upto[finish])).astype(np.int64)
+    pieces = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(child_bounds.tobytes()), pa.py_buffer(flat.tobytes()))
+    keep = pc.invert(_no_value(pieces)).to_numpy(zero_copy_only=False)
+    child = pieces.filter(pa.array(keep)).cast(pa.string())
     offsets = np.concatenate(([0], np.cumsum(np.bincount(owner[keep], minlength=rows)))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), child)
 
 
-def _no_value(piece: str) -> bool:
-    return piece.strip().lower() in NO_VALUE or not any(c.isalnum() for c in piece)
+def _no_value(pieces: pa.Array) -> pa.Array:
+    """Which pieces are stand-ins: those named, and those without a letter or digit."""
+    said = pc.utf8_lower(pc.utf8_trim_whitespace(pieces))
+    return pc.or_(pc.is_in(said, value_set=pa.array(NO_VALUE, said.type)), pc.invert(pc.match_substring_regex(pieces, r"[\p{L}\p{N}]")))
 
 
 def explode_packed(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
