@@ -101,7 +101,7 @@ def pages(index_rows: DataFrame, genes: DataFrame, diseases: DataFrame, compound
     class, variants), ``parents`` (child, parent)."""
     g = genes.select(F.lit("genes").alias("entity_type"), F.col("symbol").alias("canonical"), F.struct(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("hgnc_id", F.lit("")).alias("id"), F.slice(F.coalesce("aliases", F.array()), 1, most_aliases or 1 << 30).alias("aliases")).alias("g"))
     d = diseases.select(F.col("key").alias("k"), F.struct("mondo_id", F.slice(F.coalesce("parents", F.array()), 1, most_parents or 1 << 30).alias("parents")).alias("d"))
-    c = compounds.select(F.lit("compounds").alias("entity_type"), "canonical", F.struct("target", "class", F.filter("variants", lambda v: v.rlike(r"^[mM]\d+$"))[0].alias("code")).alias("c"))
+    c = compounds.select(F.lit("compounds").alias("entity_type"), "canonical", F.struct("target", "class", F.get(F.filter("variants", lambda v: v.rlike(r"^[mM]\d+$")), F.lit(0)).alias("code")).alias("c"))
     p = parents.groupBy(F.col("child").alias("canonical")).agg(F.max("parent").alias("parent"))
     kids = subsidiaries(parents).withColumnRenamed("parent", "canonical")
     company = F.col("entity_type") == "companies"

@@ -73,12 +73,25 @@ cyc AS (SELECT DISTINCT h, n FROM reach WHERE d > 0 AND n = a),
 root AS (SELECT h, n FROM node EXCEPT SELECT h, c FROM link)
 """
 
+_GOOD = """
+, dist AS MATERIALIZED (SELECT w.h, w.n, w.a, w.d FROM way w JOIN root r ON r.h = w.h AND r.n = w.a),
+good AS MATERIALIZED (SELECT * FROM dist WHERE (h, n) NOT IN (SELECT (h, n) FROM cyc)),
+lost AS (SELECT h, n FROM node EXCEPT SELECT h, n FROM good EXCEPT SELECT h, n FROM cyc)"""
+
 SQL = {
-    "p5_found": "WITH RECURSIVE " + _LINKS + """
-, good AS (SELECT w.h, w.n, w.a, w.d FROM way w JOIN root r ON r.h = w.h AND r.n = w.a WHERE (w.h, w.n) NOT IN (SELECT (h, n) FROM cyc))
+    "p5_found": "WITH RECURSIVE " + _LINKS + _GOOD + """
 SELECT h AS hierarchy, n AS node_key, a AS root_key, d AS node_depth FROM good
 UNION ALL SELECT h, n, 'CYCLE', -1 FROM cyc
-UNION ALL SELECT h, n, 'NONE', -1 FROM (SELECT h, n FROM node EXCEPT SELECT h, n FROM good EXCEPT SELECT h, n FROM cyc)""",
+UNION ALL SELECT h, n, 'NONE', -1 FROM lost""",
+    "p5_paths": "WITH RECURSIVE " + _LINKS + _GOOD + """
+, step AS MATERIALIZED (SELECT g.h, g.n, g.a, min(l.p) AS p FROM dist g JOIN link l ON l.h = g.h AND l.c = g.n JOIN dist u ON u.h = g.h AND u.n = l.p AND u.a = g.a AND u.d = g.d - 1 GROUP BY ALL),
+walk(h, n, a, d, cur, path) AS (
+  SELECT h, n, a, d, n, n FROM good
+  UNION ALL
+  SELECT w.h, w.n, w.a, w.d, s.p, w.path || ' > ' || s.p FROM walk w JOIN step s ON s.h = w.h AND s.n = w.cur AND s.a = w.a)
+SELECT h AS hierarchy, n AS node_key, a AS root_key, d AS node_depth, path AS node_path FROM walk WHERE cur = a
+UNION ALL SELECT h, n, 'CYCLE', -1, NULL FROM cyc
+UNION ALL SELECT h, n, 'NONE', -1, NULL FROM lost""",
     "p5_descendants": "WITH RECURSIVE " + _LINKS + """
 SELECT h AS hierarchy, a AS node_key, n AS descendant_key, d AS links_between FROM way w
 WHERE n <> a AND NOT EXISTS (SELECT 1 FROM cyc c WHERE c.h = w.h AND (c.n = w.n OR c.n = w.a))""",

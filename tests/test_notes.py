@@ -212,13 +212,14 @@ def test_merge_and_lists(spark):
 
 
 def test_entity_page(spark):
-    ix = spark.createDataFrame([("companies", "B Co", 3), ("genes", "KRAS", 1)], "entity_type string, canonical string, mention_count long")
+    ix = spark.createDataFrame([("companies", "B Co", 3), ("genes", "KRAS", 1), ("compounds", "Xol", 2), ("compounds", "Yol", 1)], "entity_type string, canonical string, mention_count long")
     genes = spark.createDataFrame([("KRAS", "name", "H:1", ["a"])], "symbol string, name string, hgnc_id string, aliases array<string>")
     dis = spark.createDataFrame([], "key string, mondo_id string, parents array<string>")
-    com = spark.createDataFrame([], "canonical string, target string, class string, variants array<string>")
+    com = spark.createDataFrame([("Xol", "T", "c", ["xol", "m12"]), ("Yol", None, None, ["yol"])], "canonical string, target string, class string, variants array<string>")
     par = spark.createDataFrame([("A Co", "B Co"), ("B Co", "C Co")], "child string, parent string")
     pages = {r.file_name: r.content for r in mentions.pages(ix, genes, dis, com, par).collect()}
     assert '*Subsidiary of [[C Co]]*' in pages["B Co.md"] and "**Subsidiaries:** [[A Co]]" in pages["B Co.md"] and "mention_count: 3" in pages["B Co.md"]
+    assert 'm_code: "M12"' in pages["Xol.md"] and "*Target: T — (c)*" in pages["Xol.md"] and "m_code" not in pages["Yol.md"]
     assert 'hgnc_id: "H:1"\naliases:\n  - "a"' in pages["KRAS.md"] and pages["KRAS.md"].startswith("---\ntitle: \"KRAS\"\nentity_type: genes\n")
 
 
