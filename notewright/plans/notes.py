@@ -349,7 +349,7 @@ def fence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.col("is_fence").cast("int")).alias("fences"), F.sum(F.col("inside").cast("int")).alias("fenced"))
 
 
-@query(rf"""WITH {_PAGE_LINES}, {_FENCED},
+_ISLANDS = rf"""{_PAGE_LINES}, {_FENCED},
 s AS (SELECT *, regexp_replace(line, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM fc),
 h AS (SELECT *, NOT is_fence AND NOT inside AND regexp_matches(line, {_CODE_RE}) AS hit,
   t <> '' AND ((regexp_matches(t, '^\\?#') AND NOT contains(t, '(')) OR regexp_matches(t, '\b\w+\s*(?:<-|=)\s') OR regexp_matches(t, '^\w[\w.]+\s*\(') OR regexp_matches(line, '^\s{{4,}}') OR regexp_matches(t, '^(?:-\w|--\w)') OR regexp_matches(t, '^(?:[)\]}}|+]|%>%|&&)')) AS cont FROM s),
@@ -358,14 +358,25 @@ w AS (SELECT *, coalesce(max(CASE WHEN hit THEN n END) OVER d, -1) AS lh, coales
 i AS (SELECT *, NOT stop AND lh > ls AS inn FROM w),
 f AS (SELECT *, inn AND NOT coalesce(lag(inn) OVER (PARTITION BY doc_id ORDER BY n), false) AS first FROM i),
 g AS (SELECT *, CASE WHEN inn THEN sum(first::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) END AS island FROM f),
-c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, island) AS size FROM g)
-SELECT doc_id, n FROM c WHERE inn AND size >= 2""")
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, island) AS size FROM g)"""
+
+
+@query(f"WITH {_ISLANDS} SELECT doc_id, n FROM c WHERE inn AND size >= 2")
 def code_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.code_islands(lines.split_lines(table(spark, sf_dir, "page_contexts"), "page_row_id", "page_text"))
     return rows.where("in_code").select("doc_id", "n")
 
 
-@query()
+def _unescaped_sql(c: str) -> str:
+    for ch in "#_*[]`><":
+        c = f"replace({c}, '\\{ch}', '{ch}')"
+    return c
+
+
+@query(rf"""WITH {_ISLANDS}, o AS (SELECT *, inn AND size >= 2 AS coded FROM c),
+e AS (SELECT doc_id, island, string_agg(line, chr(10) ORDER BY n) AS code, min(n) AS a, max(n) AS b FROM o WHERE coded GROUP BY 1, 2)
+SELECT doc_id, string_agg(CASE WHEN coded THEN CASE WHEN n = a THEN '```' || {_lang_sql("code", P.CODE_LANGUAGE)} || chr(10) ELSE '' END || {_unescaped_sql("line")} || CASE WHEN n = b THEN chr(10) || '```' ELSE '' END ELSE line END, chr(10) ORDER BY n) AS text
+FROM o LEFT JOIN e USING (doc_id, island) GROUP BY 1""")
 def fence_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.fence_islands(table(spark, sf_dir, "page_contexts"), "page_row_id", "page_text")
 
@@ -714,14 +725,30 @@ def image_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", attachments.image_kind(F.col("text"), F.col("n_chars") % 7 + 1, F.col("n_chars") % 5).alias("kind"))
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT l_orderkey::VARCHAR AS page_key, concat_ws('-', l_linenumber, l_partkey, l_suppkey, l_quantity) AS f, l_quantity::INT / 20 AS ratio, l_returnflag = 'R' AS sep, l_linenumber FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY l_linenumber, f) AS rn FROM i),
+r(page_key, rn, f, head, g, ctx) AS (
+  SELECT page_key, rn, f, ratio, 0, '' FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.page_key, o.rn, o.f, CASE WHEN o.sep OR abs(o.ratio - r.head) > 0.25 * greatest(r.head, 0.1) THEN o.ratio ELSE r.head END,
+    r.g + (o.sep OR abs(o.ratio - r.head) > 0.25 * greatest(r.head, 0.1))::INT, CASE WHEN o.sep THEN '# Next' WHEN abs(o.ratio - r.head) > 0.25 * greatest(r.head, 0.1) THEN '' ELSE r.ctx END
+  FROM r JOIN o ON o.page_key = r.page_key AND o.rn = r.rn + 1),
+p AS (SELECT page_key, g, list(f ORDER BY rn) AS names, CASE WHEN count(*) >= 5 OR (count(*) > 1 AND any_value(head) > 1.2) THEN 'slide_photo' ELSE 'screenshot' END AS worker, any_value(ctx) AS ctx FROM r GROUP BY 1, 2),
+m(page_key, g, k, names, worker, ctx) AS (
+  SELECT page_key, g, 0, names, worker, ctx FROM p WHERE g = 0
+  UNION ALL
+  SELECT p.page_key, p.g, m.k + (NOT (greatest(len(m.names), len(p.names)) < 5 AND m.worker = p.worker))::INT,
+    CASE WHEN greatest(len(m.names), len(p.names)) < 5 AND m.worker = p.worker THEN list_concat(m.names, p.names) ELSE p.names END, p.worker,
+    CASE WHEN greatest(len(m.names), len(p.names)) < 5 AND m.worker = p.worker AND m.ctx <> '' THEN m.ctx ELSE p.ctx END
+  FROM m JOIN p ON p.page_key = m.page_key AND p.g = m.g + 1)
+SELECT page_key, k AS group_no, arg_max(worker, g) AS worker_type, array_to_string(arg_max(names, g), '|') AS filenames, arg_max(ctx, g) AS context FROM m GROUP BY 1, 2""")
 def image_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as if they were the images of a page, with quantities as widths."""
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("page_key"), F.col("l_linenumber").alias("ord"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("filename"), F.col("l_quantity").cast("int").alias("width"), F.lit(20).alias("height"),
         F.when(F.col("l_returnflag") == "R", "# Next").alias("between"), F.lit("").alias("preceding"), F.col("l_linestatus").alias("page_title"), F.lit("").alias("page_text"), F.lit("").alias("section_path"),
     )
-    return attachments.group_images(rows)
+    return attachments.group_images(rows).withColumn("filenames", F.array_join("filenames", "|"))
 
 
 @query("SELECT l_orderkey, sha256(array_to_string(list_sort(list(sha256(l_partkey || '/' || l_suppkey))), '')) AS group_hash FROM lineitem GROUP BY 1")
@@ -769,7 +796,17 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json(annotate.json_value_udf(said), "k long")["k"].alias("k"))
 
 
-@query()
+_BARE = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
+@query(rf"""WITH tx AS (SELECT doc_id, {_BARE.format("text")} AS text FROM documents WHERE text IS NOT NULL),
+ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM tx),
+b AS (SELECT *, {_BARE.format("line")} AS bare FROM ln),
+l AS (SELECT *, CASE WHEN regexp_matches(bare, '^(TITLE|CONTENT_TYPE|AUTHORS|DATE|METHODS):') THEN regexp_extract(bare, '^([A-Z_]+):', 1) WHEN bare IN ('KEY_POINTS:', 'BODY:') THEN replace(bare, ':', '') END AS label FROM b),
+s AS (SELECT *, last_value(label IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS sec, {_BARE.format("substr(bare, strpos(bare, ':') + 1)")} AS val FROM l),
+g AS (SELECT doc_id, coalesce(arg_max(val, n) FILTER (label = 'TITLE'), '') AS title, coalesce(arg_max(val, n) FILTER (label = 'AUTHORS' AND lower(val) <> 'unknown'), '') AS said, coalesce(arg_max(val, n) FILTER (label = 'DATE' AND lower(val) <> 'unknown'), '') AS date,
+count(*) FILTER (label IS NULL AND sec = 'KEY_POINTS' AND starts_with(bare, '- ')) AS points, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (label IS NULL AND sec = 'BODY'), '') AS below FROM s GROUP BY 1)
+SELECT doc_id, title, array_to_string(list_filter(list_transform(string_split(said, ','), lambda x: {_BARE.format("x")}), lambda x: x <> ''), '|') AS authors, date, points, {_BARE.format("below")} AS body FROM g""")
 def structured_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", annotate.structured(F.col("text")).alias("r")).select("doc_id", "r.title", F.array_join("r.authors", "|").alias("authors"), "r.date", F.size("r.key_points").alias("points"), "r.body")
 
