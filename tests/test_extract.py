@@ -88,3 +88,15 @@ def test_summary_of_one_hot_type(spark):
     df = spark.range(5000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("key"), F.when(F.col("id") % 3 == 0, "new").otherwise("update").alias("type")).repartition(5)
     got = {r.type: (r.n, r.examples) for r in sync.summary(df).collect()}
     assert got["new"] == (1667, [f"{k:05d}" for k in range(0, 30, 3)]) and got["update"][0] == 3333
+
+
+def test_titles_in_odd_letters_are_found(spark):
+    docs = spark.createDataFrame([(1, "the dırector"), (2, "Senıor Scientiſt, CſO"), (3, "HEAD OF Data"), (4, "ceo; exDirector"), (5, None)], "doc_id int, text string")
+    assert {(r.doc_id, r.canonical) for r in extract.roles(docs).collect()} == {(1, "Director"), (2, "Senior Scientist"), (2, "CSO"), (3, "Head of Data"), (4, "CEO")}
+
+
+def test_large_dictionaries_shuffle_no_words_of_texts(spark):
+    docs = spark.createDataFrame([(1, "modal patient")], "doc_id int, text string").repartition(2)
+    plan = extract.all_mentions(docs, *_tables(spark), most_entries=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Generate explode" in x and "[\\p{L}\\p{N}]+" in x]
+    assert not [x for x in plan.splitlines() if "Generate explode" in x and "[a-z]{4,}" in x]
