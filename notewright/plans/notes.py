@@ -527,8 +527,8 @@ def gene_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""WITH {_SAID}, dn AS ({_DISEASES.format(under="")}),
-an AS (SELECT *, list_sort(list_filter(regexp_extract_all(key, '[a-z]{{4,}}'), lambda x: true), 'ASC') AS runs FROM dn WHERE length(key) >= 4 AND NOT list_contains({_words([*extract.DISEASE_GENERIC, *extract.DISEASE_NEVER])}, key) AND NOT list_contains({_words(extract.DISEASE_GENERIC)}, lower(label))),
-ht AS (SELECT doc_id, key, label, mondo_id FROM sd JOIN an ON contains(lower(text), key) WHERE len(runs) > 0 AND {_ALONE}),
+an AS (SELECT * FROM dn WHERE length(key) >= 4 AND NOT list_contains({_words([*extract.DISEASE_GENERIC, *extract.DISEASE_NEVER])}, key) AND NOT list_contains({_words(extract.DISEASE_GENERIC)}, lower(label))),
+ht AS (SELECT doc_id, key, label, mondo_id FROM sd JOIN an ON contains(lower(text), key) WHERE {_ALONE}),
 bt AS (SELECT doc_id, lower(label) AS l, min((-length(key), key, label, mondo_id)) AS m FROM ht GROUP BY 1, 2)
 SELECT doc_id, m[2] AS text, m[3] AS canonical, coalesce(m[4], '') AS ontology_id FROM bt""")
 def disease_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,3 +100,13 @@ def test_large_dictionaries_shuffle_no_words_of_texts(spark):
     plan = extract.all_mentions(docs, *_tables(spark), most_entries=0)._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Generate explode" in x and "[\\p{L}\\p{N}]+" in x]
     assert not [x for x in plan.splitlines() if "Generate explode" in x and "[a-z]{4,}" in x]
+
+
+def test_disease_names_without_a_long_run_are_found(spark):
+    names = spark.createDataFrame([("als 1", "als 1", "M:1"), ("face lift", "face lift", "M:2"), ("ß-är", "ß-är", "M:3"), ("t2d (x)", "t2d (x)", "M:4"), ("7q11", "7q11", "M:5")], "key string, label string, mondo_id string")
+    docs = spark.createDataFrame([(1, "patient with ALS 1, a face lift."), (2, "patient: ß-Är"), (3, "patient: T2D (x) was noted"), (4, "patient: T2D (x)a, als 12, pre-als 1, 7q11"), (5, "als 1 7q11")], "doc_id int, text string")
+    want = {(1, "als 1"), (1, "face lift"), (2, "ß-är"), (3, "t2d (x)"), (4, "7q11"), (5, "als 1")}
+    assert {(r.doc_id, r.canonical) for r in extract.diseases(docs, names).collect()} == want
+    none = [t.limit(0) for t in _tables(spark)]
+    for n in (0, 500_000):
+        assert {(r.doc_id, r.canonical) for r in extract.all_mentions(docs, *none[:3], names, none[4], most_entries=n).where("entity_type = 'diseases'").collect()} == want
