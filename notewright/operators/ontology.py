@@ -51,16 +51,21 @@ def below(spark: SparkSession, root: str, links: DataFrame) -> DataFrame:
     return a.finish(ancestry.reaching(a, root).union(spark.createDataFrame([(root,)], "node string")).distinct())
 
 
-def diseases(spark: SparkSession, nodes: DataFrame, edges: DataFrame, root: str | None, stop: tuple[str, ...] = DISEASE_STOP) -> DataFrame:
-    """(key, label, mondo_id): lower labels and synonyms of the live classes under ``root`` (all, if None), each key with
-    its first node; a label comes before its node's synonyms. Labels of three characters or more, synonyms of four."""
+def disease_keys(spark: SparkSession, nodes: DataFrame, edges: DataFrame, root: str | None, stop: tuple[str, ...] = DISEASE_STOP) -> DataFrame:
+    """(id, label, ord, key): lower labels and synonyms of the live classes under ``root`` (all, if None), in their order.
+    Labels of three characters or more, synonyms of four."""
     node = F.regexp_extract("node_id", r"(?i)mondo[:_](\d+)", 1)
     live = nodes.where((F.upper(F.trim("node_type")) == "CLASS") & (node != "") & ~F.coalesce("deprecated", F.lit(False)) & (F.length(F.trim("lbl")) >= 3)).withColumn("id", F.concat(F.lit("MONDO:"), node))
     if root is not None:
         links, _ = ancestry.disease_links(edges)
         live = live.join(below(spark, root, links).withColumnRenamed("node", "id"), "id", "left_semi")
     names = F.concat(F.array(F.col("lbl")), F.filter(F.coalesce("synonyms", F.array()), lambda s: F.length(F.trim(s)) >= 4))
-    keys = live.select("id", F.col("lbl").alias("label"), F.posexplode(names).alias("ord", "name")).withColumn("key", F.lower(P.any_space(F.col("name")))).where(~F.col("key").isin(*stop))
+    return live.select("id", F.col("lbl").alias("label"), F.posexplode(names).alias("ord", "name")).withColumn("key", F.lower(P.any_space(F.col("name")))).where(~F.col("key").isin(*stop)).drop("name")
+
+
+def diseases(spark: SparkSession, nodes: DataFrame, edges: DataFrame, root: str | None, stop: tuple[str, ...] = DISEASE_STOP) -> DataFrame:
+    """(key, label, mondo_id): ``disease_keys``, each key with its first node; a label comes before its node's synonyms."""
+    keys = disease_keys(spark, nodes, edges, root, stop)
     return keys.groupBy("key").agg(F.min_by(F.struct("label", F.col("id").alias("mondo_id")), F.struct("id", "ord")).alias("m")).select("key", "m.label", "m.mondo_id")
 
 

@@ -532,7 +532,8 @@ ht AS (SELECT doc_id, key, label, mondo_id FROM sd JOIN an ON contains(lower(tex
 bt AS (SELECT doc_id, lower(label) AS l, min((-length(key), key, label, mondo_id)) AS m FROM ht GROUP BY 1, 2)
 SELECT doc_id, m[2] AS text, m[3] AS canonical, coalesce(m[4], '') AS ontology_id FROM bt""")
 def disease_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.diseases(_said_docs(spark, sf_dir), disease_names(spark, sf_dir)).select("doc_id", "text", "canonical", "ontology_id")
+    keys = ontology.disease_keys(spark, table(spark, sf_dir, "mondo_nodes"), table(spark, sf_dir, "mondo_edges"), None)
+    return extract.diseases(_said_docs(spark, sf_dir), disease_names(spark, sf_dir), keys).select("doc_id", "text", "canonical", "ontology_id")
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
