@@ -13,9 +13,11 @@ import hashlib
 import math
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,23 +59,25 @@ FILLER = (
 )
 
 _SLOT = re.compile("|".join(SLOTS))
-# Every slot holds one of these.
-_SLOT_HINT = re.compile(r"[{<\[$@%]|___|__[^_\s]|XXX|xxxx|Traceback|File \"")
-_EMPTY_HINT = re.compile(r"null|NaN|TBD|N/A|None|undefined|\.\.\.")
+# Every slot holds one of these, or two underscores before something else.
+_SLOT_HINTS = ("{", "<", "[", "$", "@", "%", "___", "XXX", "xxxx", "Traceback", 'File "')
+_UNDERSCORES = re.compile(r"__[^_\s]")
+_EMPTY_HINTS = (*EMPTY, "...")
 _EMPTY = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, EMPTY)) + r")(?!\w)|(?<=[\w:] )\.\.\.|^\.\.\.")
 _TAG = re.compile(r"</?([a-zA-Z]+)[^<>\n]{0,200}>")
 _LABEL = re.compile(r"(?<=[^\s])\s+(?=[^\W\d_][\w ]{1,24}:\s)")
-# Newlines, or white space behind a sentence's end; begins with one class, so that the search is fast.
-_SPLIT = re.compile(r"[\s](?:(?<=\n)\n*|(?<=[.!?…]\s)\s*(?=\S))")
+_END = re.compile(r"([.!?…])\s")
 _WORD = re.compile(r"\x02|[^\W\d_]+|\d+")
+_ASCII_WORD = re.compile(r"[a-z]+|0+|\x02")
 
 SLOT, RARE = "\x02", "\x03rare"
 
 
 def split_passages(text: str) -> list[str]:
-    if _SLOT_HINT.search(text):
+    """Passages end at newlines and at white space behind a sentence's end; none holds a newline."""
+    if any(map(text.__contains__, _SLOT_HINTS)) or "__" in text and _UNDERSCORES.search(text):
         text = _TAG.sub(_tag_name, _SLOT.sub(SLOT, text))
-    return [p for p in (s.strip() for s in _SPLIT.split(text)) if p]
+    return [p for s in _END.sub("\\1\n", text).split("\n") if (p := s.strip())]
 
 
 def _tag_name(m: re.Match) -> str:
@@ -82,7 +86,10 @@ def _tag_name(m: re.Match) -> str:
 
 _LEAD = re.compile(r"^(?:[-*•]\s+|\d{1,2}[.)]\s+|\d{1,2}:\d{2}\s+|[^\W\d_]{1,10}:\s+(?=[^\W\d_]+\s+[^\W\d_]+\s+[^\W\d_]+))")
 
-_NUMBER = re.compile(r"\d+")
+# The same behind a newline, for many passages at once.
+_LEADS = re.compile("\n" + _LEAD.pattern[1:].replace(r"\s", r"[^\S\n]"))
+
+_NUMBER, _ASCII_NUMBER = re.compile(r"\d+"), re.compile("[0-9]+")
 
 
 def passage_key(passage: str) -> str:
@@ -91,16 +98,34 @@ def passage_key(passage: str) -> str:
     return _NUMBER.sub("0", passage[lead.end() :] if lead else passage).strip().lower()
 
 
-_DIGITS = str.maketrans("123456789", "000000000")
+def passage_keys(passages: list[str]) -> list[str]:
+    """``passage_key`` of each passage of one text, all in one go; the passages as ``split_passages`` gives them."""
+    text = _LEADS.sub("\n", "\n" + "\n".join(passages)) if passages else ""
+    return (_ASCII_NUMBER if text.isascii() else _NUMBER).sub("0", text).lower().split("\n")[1:]
+
+
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
 
 def passage_words(passage: str, position: int) -> list[str]:
     """Folded words; a slot is a kind of its own, and so are the numbers of one length."""
-    if _EMPTY_HINT.search(passage):
+    if any(map(passage.__contains__, _EMPTY_HINTS)):
         passage = _EMPTY.sub(SLOT, passage)
-    if not passage.isascii():
-        passage = unicodedata.normalize("NFC", passage)
-    return _WORD.findall(passage.lower().translate(_DIGITS))
+    if passage.isascii():
+        return _ASCII_WORD.findall(passage.lower().encode().translate(_DIGITS).decode())
+    # ASCII digits are bytes of their own in UTF-8, and bytes are translated much faster than characters.
+    folded = unicodedata.normalize("NFC", passage).lower().encode("utf-8", "surrogatepass").translate(_DIGITS)
+    return _WORD.findall(folded.decode("utf-8", "surrogatepass"))
+
+
+_LETTERS, _SINGLES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"0123456789" + SLOT.encode()
+
+
+def most_words(text: str) -> int:
+    """At most one more than this are the ``passage_words`` of a text: each character that is no ASCII letter may part two
+    words, and may be a word as well if it is a digit, a slot or no ASCII (two bytes or more)."""
+    rest = text.encode("utf-8", "surrogatepass").translate(None, _LETTERS)
+    return 2 * len(rest) - len(rest.translate(None, _SINGLES))
 
 
 def is_heading(passage: str, position: int) -> bool:
@@ -127,10 +152,20 @@ class Model:
     most: float = 6.0
     neutral: frozenset[str] = frozenset()
 
+    @cached_property
+    def _ends(self) -> tuple[frozenset[str], list[int]]:
+        """Up to six characters that end the neutral passages, from their last number on if it is among them; their lengths."""
+        ends = frozenset(end[max(0, end.rfind("0")) :] for end in (k[-6:] for k in self.neutral))
+        return ends, sorted(set(map(len, ends)))
+
     def is_neutral(self, passage: str) -> bool:
-        ends = self.__dict__.setdefault("_ends", frozenset(k[-1:] for k in self.neutral))
-        last = passage[-1:].lower()
-        return ("0" if last.isdigit() else last) in ends and len(passage) <= self.__dict__.setdefault("_longest", max(map(len, self.neutral), default=0) + 24) and passage_key(passage) in self.neutral
+        ends, lengths = self._ends
+        last = passage[-12:].lower()
+        for n in lengths:
+            end = last[-n:]
+            if (f"0{end[1:]}" if end[:1].isdecimal() else end) in ends:
+                return passage_key(passage) in self.neutral
+        return False
 
     def score(self, ws: list[str]) -> float:
         return sum(map(self.odds.__getitem__, ws))
@@ -148,11 +183,14 @@ def fit(trusted: list[list[list[str]]], unlabelled: list[list[list[str]]], *, ro
     """
     records = trusted + unlabelled
     passages = [p for r in records for p in r]
-    df = Counter(w for p in passages for w in set(p))
-    vocabulary = {w: i for i, w in enumerate([RARE, *sorted(w for w, n in df.items() if n >= least_df and w != RARE)])}
     of_record = np.repeat(np.arange(len(records)), [len(r) for r in records])
     of_passage = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
-    cols = np.array([vocabulary.get(w, 0) for p in passages for w in p], dtype=np.int64)
+    words: defaultdict[str, int] = defaultdict(lambda: len(words))
+    codes = np.fromiter(map(words.__getitem__, chain.from_iterable(passages)), np.int64)
+    pairs = np.sort(of_passage * len(words) + codes)
+    df = np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] % max(1, len(words)), minlength=len(words))
+    vocabulary = {w: i for i, w in enumerate([RARE, *sorted(w for w, n in zip(words, df.tolist()) if n >= least_df and w != RARE)])}
+    cols = np.array([vocabulary.get(w, 0) for w in words], dtype=np.int64)[codes]
     base = (np.bincount(cols, minlength=len(vocabulary)) + 0.1) / (len(cols) + 0.1 * len(vocabulary))
     belief = np.zeros(len(records))
     belief[: len(trusted)] = 1.0
@@ -173,25 +211,34 @@ def fit(trusted: list[list[list[str]]], unlabelled: list[list[list[str]]], *, ro
     return Model(_Odds((w, float(odds[i])) for w, i in vocabulary.items()), lead, most)
 
 
-def _given(passages: list[str]) -> list[tuple[str, bool, int]]:
-    """(key, whether the passage shows by itself that no one wrote it, words) of a record's passages, headings aside: one
-    made of slots, or one that the record says three times or more."""
-    keys = [(passage_key(p), passage_words(p, 1)) for k, p in enumerate(passages) if not is_heading(p, k)]
+def _read(passages: list[str]) -> list[tuple[str, list[str]]]:
+    """(key, words) of a record's passages, headings aside."""
+    return [(key, passage_words(p, k)) for k, (p, key) in enumerate(zip(passages, passage_keys(passages))) if not is_heading(p, k)]
+
+
+def _given(keys: list[tuple[str, list[str]]]) -> list[tuple[str, bool, int]]:
+    """(key, whether the passage shows by itself that no one wrote it, words) of what was read of a record: one made of
+    slots, or one that the record says three times or more."""
     times = Counter(k for k, _ in keys)
     return [(key, (slots := ws.count(SLOT)) > 0 and len(ws) <= 9 * slots or times[key] >= 3, len(ws)) for key, ws in keys]
 
 
 def trust(parts: list[list[str]], least: int = 5, apart: float = 0.5, rest: float = 0.25) -> tuple[set[int], set[str], set[str]]:
+    """``trust_read`` of records given by their passages."""
+    return trust_read([_read(part) for part in parts], least, apart, rest)
+
+
+def trust_read(read: list[list[tuple[str, list[str]]]], least: int = 5, apart: float = 0.5, rest: float = 0.25) -> tuple[set[int], set[str], set[str]]:
     """(places of the trusted records, closed wordings, all other wordings that are not only titles) of records given by
-    their passages.
+    the keys and words of their passages.
 
     A passage is a record's own if it comes in fewer than ``least`` records and does not show by itself that no one wrote
     it. Wording is closed if it comes in ``least`` records or more, and in fewer than ``apart`` of them more than
     ``rest`` of the words are the record's own. A record is trusted if all but ``rest`` of its words are closed or show
     that; one closed wording alone does not do, it may be a short note. Records that say the same count once, whatever their titles."""
     said: dict[frozenset, tuple[list[tuple[str, bool, int]], list[int]]] = {}
-    for i, part in enumerate(parts):
-        passages = _given(part)
+    for i, keys in enumerate(read):
+        passages = _given(keys)
         said.setdefault(frozenset(k for k, _, _ in passages), (passages, []))[1].append(i)
     records, beside = Counter(k for body in said for k in body), Counter()
     for body, (passages, _) in said.items():
@@ -220,9 +267,8 @@ def learn(documents: DataFrame, doc_id: str, text: str, *, sample: int = 12_000,
 
 def wordings(passages: list[str]) -> tuple[frozenset[str], set[str]]:
     """(what a record says, all its wordings) as passage keys; headings say something only where nothing else stands."""
-    keys = [(passage_key(p), is_heading(p, k)) for k, p in enumerate(passages)]
-    every = {k for k, _ in keys}
-    return frozenset(k for k, heading in keys if not heading) or frozenset(every), every
+    keys = passage_keys(passages)
+    return frozenset(key for k, (p, key) in enumerate(zip(passages, keys)) if not is_heading(p, k)) or frozenset(keys), set(keys)
 
 
 def _said(texts: list[str]) -> dict[frozenset[str], set[str]]:
@@ -269,12 +315,12 @@ def common_wordings(texts: DataFrame, share: float, known: list[str]) -> set[str
             break
         limit *= 4
     heavy = {r["wording"] for r in top if r["wording"] is not None and is_common(r["n"], top[0]["n"], share)}
-    found = {k for t in known for p in split_passages(t) if _hash(k := passage_key(p)) in heavy} if heavy else set()
+    found = {k for t in known for k in passage_keys(split_passages(t)) if _hash(k) in heavy} if heavy else set()
     lost = heavy - set(map(_hash, found))
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = {k for t in batch.column(0).to_pylist() for p in split_passages(t) if _hash(k := passage_key(p)) in lost}
+            keys = {k for t in batch.column(0).to_pylist() for k in passage_keys(split_passages(t)) if _hash(k) in lost}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(keys), pa.string())], names=["key"])
 
     return found | ({r[0] for r in texts.mapInArrow(names, "key string").distinct().collect()} if lost else set())
@@ -289,14 +335,14 @@ def learn_from(texts: list[str], sayings: set[str] | None = None, common: float
         seen = Counter(k for every in said.values() for k in every)
         sayings = {k for k, n in seen.items() if is_common(n, len(said), common)}
     texts = list(dict.fromkeys(texts))  # one wording counts once however often its record is repeated
-    parts = [split_passages(t) for t in texts]
-    trusted, _, open_ones = trust(parts)
+    read = [_read(split_passages(t)) for t in texts]
+    trusted, _, open_ones = trust_read(read)
     neutral = frozenset(k for k in sayings & open_ones if SLOT not in k)
 
-    def of(parts: list[list[str]]) -> list[list[list[str]]]:
-        return [r for ps in parts if (r := [w for k, p in enumerate(ps) if not is_heading(p, k) and passage_key(p) not in neutral and (w := passage_words(p, k))])]
+    def of(read: list[list[tuple[str, list[str]]]]) -> list[list[list[str]]]:
+        return [r for keys in read if (r := [ws for key, ws in keys if ws and key not in neutral])]
 
-    model = fit(of([p for i, p in enumerate(parts) if i in trusted] + [split_passages(FILLER)] * 3), of([p for i, p in enumerate(parts) if i not in trusted]))
+    model = fit(of([keys for i, keys in enumerate(read) if i in trusted] + [_read(split_passages(FILLER))] * 3), of([keys for i, keys in enumerate(read) if i not in trusted]))
     model.neutral = neutral
     return model
 
@@ -304,16 +350,17 @@ def learn_from(texts: list[str], sayings: set[str] | None = None, common: float
 def judge(text: str, model: Model, most_content: float | None = None) -> tuple[int, int, float]:
     """(words of residue, words of content, log odds of the record), headings and neutral passages aside. Where
     nothing else stands, the neutral passages, and then the headings, are what the record offers. With ``most_content``
-    the rest of a text is not scored once it can no longer bring the share of content down to that, even if each
-    character were a word: the decision is the same, the numbers are those up to there."""
+    the rest of a text is not scored once it can no longer bring the share of content down to that, even if it held as
+    many words as ``most_words`` allows and all were residue: the decision is the same, the numbers are those up to there."""
     scored, headings, skipped = [], [], []
     passages = split_passages(text)
-    left = sum(map(len, passages))
+    left = len(passages) + most_words("".join(passages)) if most_content is not None else 0
     said = spoken = 0
     for k, p in enumerate(passages):
-        if most_content is not None and said > most_content * (spoken + left):
-            break
-        left -= len(p)
+        if most_content is not None:
+            if said > most_content * (spoken + left):
+                break
+            left -= 1 + most_words(p)
         if model.is_neutral(p):
             skipped.append((p, k))
             continue
@@ -369,5 +416,5 @@ def residue_records(documents: DataFrame, doc_id: str, text: str, *, model: Mode
             )
             yield out if scores else out.filter(pa.array(keep, pa.bool_()))
 
-    judged = documents.where(F.regexp_replace(text, r"(?U)[\s\p{Z}]+", "") != "").select(doc_id, text).mapInArrow(run, schema)
+    judged = documents.where(F.col(text).rlike(r"(?U)[^\s\p{Z}]")).select(doc_id, text).mapInArrow(run, schema)
     return judged if scores else judged.select(doc_id)

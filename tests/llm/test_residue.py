@@ -145,3 +145,30 @@ def test_common_wordings_are_counted_over_all_records(spark):
 def test_common_is_alike_at_every_size(n):
     assert residue.is_common(n * 4 // 100, n, 0.004)
     assert not residue.is_common(n // 300, n, 0.004) and not residue.is_common(1, n, 0.004)
+
+
+def test_a_note_is_scored_no_further_than_its_decision_needs(model, monkeypatch):
+    scored = []
+    words = residue.passage_words
+    monkeypatch.setattr(residue, "passage_words", lambda p, k: scored.append(p) or words(p, k))
+    rng = random.Random(6)
+    note = "\n".join(rng.choice(NOTES).format(w=_w(rng) + _w(rng), n=rng.randrange(99)) for _ in range(40))
+    assert not residue.is_residue(residue.judge(note, model, 0.45), 0.45) and len(scored) <= 28
+
+
+ODD = [*"aZ b.c !?…\n\n\t\r\x1c   09٣²½ÄßİΣé́-*#:_{}<>[]$@%X\x02中Ⅷ—“", "null", "N/A", "...", "__x__", "{{a}}", "<error>", "Note: a b c d", "- ", "1. ", "12:30 ", "\n3) ", ". "]
+
+
+def test_texts_of_odd_characters_are_read_and_decided_alike(model):
+    """Passages at once and one by one, whole texts and the part that decides; words are never more than allowed for."""
+    rng = random.Random(9)
+    some = residue.Model(model.odds, model.prior, neutral=frozenset({"a.", "page 0 of 0", "b 0.", "zz null", "date: 0"}))
+    for k in range(4000):
+        t = "".join(rng.choice([*ODD, *PAGE, "Page 3 of 7", "12:30 b ٣.", "Date: 4", "ZZ null"]) for _ in range(rng.randrange(40)))
+        passages = residue.split_passages(t)
+        assert residue.passage_keys(passages) == [residue.passage_key(p) for p in passages]
+        for p in passages:
+            assert len(residue.passage_words(p, 1)) <= 1 + residue.most_words(p)
+            assert some.is_neutral(p) == (residue.passage_key(p) in some.neutral)
+        for m in (model, some):
+            assert residue.is_residue(residue.judge(t, m, 0.45), 0.45) == residue.is_residue(residue.judge(t, m), 0.45)
